@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.catalog.common import Catalog, draw_sql, with_
 from graphloom.catalog.tables import (
     NATION_SQL,
     TRADE_SQL,
@@ -23,23 +24,8 @@ from graphloom.operators import sampling as S
 from graphloom.plans import partition as G
 from graphloom.plans import prune as R
 
-CATALOG: dict = {}
-
-
-def query(name: str, sql: str | None):
-    def register(fn):
-        CATALOG[name] = (fn, sql)
-        return fn
-
-    return register
-
-
-def with_(*ctes: str) -> str:
-    return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
-
-
-def draw_sql(a: str, b: str, seed: int) -> str:
-    return f"((({a} * 7919 + {b} * 104729 + {seed * 1299709}) % 1000003) / 1000003.0::DOUBLE)"
+CATALOG = Catalog()
+query = CATALOG.query
 
 
 # ---- projections
@@ -285,12 +271,13 @@ def _(spark, d):
 
 
 MAPPING_SQL = """mapping AS (
-  SELECT id, id % 97 AS label FROM (SELECT src AS id FROM triangles UNION SELECT dst FROM triangles)
+  SELECT id, (id % 997) * (id % 2) AS label FROM (SELECT src AS id FROM triangles UNION SELECT dst FROM triangles)
 )"""
 
 
 def _mapping(edges):
-    return E.distinct_nodes(edges).withColumn("label", F.col("id") % 97)
+    # half of the nodes share label 0, the others are spread over many labels
+    return E.distinct_nodes(edges).withColumn("label", (F.col("id") % 997) * (F.col("id") % 2))
 
 
 @query(
@@ -451,7 +438,7 @@ def _(spark, d):
         """low AS (SELECT subgraph_id, rank AS t FROM (SELECT subgraph_id, rank,
           ROW_NUMBER() OVER (PARTITION BY subgraph_id ORDER BY rank) - 1 AS pos,
           COUNT(*) OVER (PARTITION BY subgraph_id) AS n FROM ranks)
-          WHERE pos = CAST(FLOOR(CAST(0.05 AS DOUBLE) * n) AS BIGINT))""",
+          WHERE pos = CAST(FLOOR(CAST(0.5 AS DOUBLE) * n) AS BIGINT))""",
     )
     + """SELECT e.subgraph_id, e.src, e.dst, ROUND(e.w, 6) AS w FROM logged e
     JOIN ranks a ON a.subgraph_id = e.subgraph_id AND a.id = e.src
@@ -459,7 +446,7 @@ def _(spark, d):
     JOIN low l ON l.subgraph_id = e.subgraph_id WHERE a.rank >= l.t OR b.rank >= l.t""",
 )
 def _(spark, d):
-    kept = R.prune_by_pagerank(_logged(spark, d), by=["subgraph_id"], tol=None, max_iter=10, digits=9)
+    kept = R.prune_by_pagerank(_logged(spark, d), q=0.5, by=["subgraph_id"], tol=None, max_iter=10, digits=9)
     return kept.withColumn("w", F.round("w", 6))
 
 
@@ -526,13 +513,13 @@ def _(spark, d):
 @query(
     "label_sizes",
     with_(TRIANGLE_SQL, MAPPING_SQL)
-    + "SELECT label, COUNT(*) AS size, COUNT(*) >= 35 AS frozen FROM mapping GROUP BY 1",
+    + "SELECT label, COUNT(*) AS size, COUNT(*) >= 100 AS frozen FROM mapping GROUP BY 1",
 )
 def _(spark, d):
-    return E.label_sizes(_mapping(triangles(spark, d)), cap=35)
+    return E.label_sizes(_mapping(triangles(spark, d)), cap=100)
 
 
-STATE_SQL = """state AS (SELECT m.id, m.label, s.size, s.size >= 35 AS frozen FROM mapping m
+STATE_SQL = """state AS (SELECT m.id, m.label, s.size, s.size >= 100 AS frozen FROM mapping m
   JOIN (SELECT label, COUNT(*) AS size FROM mapping GROUP BY 1) s ON m.label = s.label)"""
 MESSAGE_SQL = """messages AS (SELECT e.src AS id, s.label, s.frozen, s.size, e.w FROM triangles e JOIN state s ON e.dst = s.id)"""
 SCORE_SQL = """scores AS (SELECT id, label, ROUND(SUM(w / CAST(size AS DOUBLE)), 9) AS score FROM messages WHERE NOT frozen GROUP BY 1, 2)"""
@@ -542,7 +529,7 @@ BEST_SQL = """best AS (SELECT id, label AS new_label, score FROM (
 
 def _state(spark, d):
     edges = triangles(spark, d)
-    return edges, L.label_state(_mapping(edges), 35)
+    return edges, L.label_state(_mapping(edges), 100)
 
 
 @query("send_labels", with_(TRIANGLE_SQL, MAPPING_SQL, STATE_SQL, MESSAGE_SQL) + "SELECT id, label, frozen, size, w FROM messages")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.catalog import graph_queries
+from graphloom.catalog import feature_queries, graph_queries, learning_queries, metric_queries, source_queries
 from graphloom.catalog.tables import Query
 
-MODULES = (graph_queries,)
+MODULES = (graph_queries, source_queries, feature_queries, metric_queries, learning_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -61,8 +61,8 @@ def standardize_on_train(nodes: DataFrame, mask: str = "is_train") -> DataFrame:
     )
     # one row for the whole table: read as a scalar subquery, so no join is needed
     kept = stats.agg(F.sort_array(F.collect_list(F.struct("idx", "mean", "sd"))).alias("s")).scalar()
-    scaled = F.transform(kept, lambda s: (F.get("features", s.idx) - s.mean) / s.sd)
-    return nodes.withColumn("features", scaled)
+    scaled = F.transform("_stats", lambda s: (F.get("features", s.idx) - s.mean) / s.sd)
+    return nodes.withColumn("_stats", kept).withColumn("features", scaled).drop("_stats")
 
 
 # ---- adjacency

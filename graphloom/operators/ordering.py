@@ -42,9 +42,12 @@ def with_value_slot(df: DataFrame, key: str, slot: str = "_slot") -> DataFrame:
     return bucketizer.transform(wide).drop("_slot_key").withColumn(slot, F.col(slot).cast("int"))
 
 
-def with_hash_slot(df: DataFrame, key: str, slot: str = "_slot") -> DataFrame:
-    """As ``with_value_slot`` for a key spread evenly over all 64-bit integers; needs no extra pass."""
-    n = slot_count(df)
+def with_hash_slot(df: DataFrame, key: str, slots: Column | None = None, slot: str = "_slot") -> DataFrame:
+    """As ``with_value_slot`` for a key spread evenly over all 64-bit integers; needs no extra pass.
+
+    ``slots`` may give each group its own number of slots, such as one for groups known to be small.
+    """
+    n = F.lit(slot_count(df)) if slots is None else slots
     # shifting right keeps the order; 2**20 even ranges of the hash are folded into n slots
     return df.withColumn(slot, F.floor((F.shiftright(F.col(key), 44) + (1 << 19)) * n / (1 << 20)).cast("int"))
 
@@ -56,15 +59,17 @@ def prefix_sum(
     by: Sequence[str] = (),
     ties: Sequence[str] = (),
     hashed: bool = False,
+    slots: Column | None = None,
 ) -> DataFrame:
     """Add ``before`` (total of ``value`` over earlier rows of the group) and ``total``.
 
     Rows are ordered by ``key``, then ``ties``. Keys should be (nearly) distinct inside a group:
-    count equal keys first. ``hashed`` says that ``key`` is a ``hash_key``.
+    count equal keys first. ``hashed`` says that ``key`` is a ``hash_key``; ``slots`` is then the
+    number of slots of the row's group.
     """
     by = list(by)
     groups = by or [F.lit(0)]
-    slotted = (with_hash_slot if hashed else with_value_slot)(df, key)
+    slotted = with_hash_slot(df, key, slots) if hashed else with_value_slot(df, key)
     slotted = slotted.withColumn("_value", F.col(value) if isinstance(value, str) else value)
 
     by_slot = Window.partitionBy(*groups).orderBy("_slot")

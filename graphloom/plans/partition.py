@@ -22,7 +22,7 @@ from graphloom.operators import labels as steps
 from graphloom.operators.labels import SCORE_DIGITS, lp_iteration
 from graphloom.operators.ordering import rank_rows
 from graphloom.operators.sampling import Draw, edge_draw, sample_edges
-from graphloom.scratch import Loop, cut, new_path
+from graphloom.scratch import Loop, cut, new_path, settled
 
 
 def size_cap(n_nodes: int, k: int) -> int:
@@ -43,6 +43,7 @@ def label_propagation(
     endpoint) is in the result.
     """
     loop = Loop("labels")
+    edges = settled(edges, "lp-edges")
     labels = loop.step(init_labels(edges) if labels is None else labels)
     cap = size_cap(labels.count(), k) if cap is None else cap
     for _ in range(iterations):
@@ -171,63 +172,60 @@ def balanced_parts(
     random share as large as its free capacity moves in.
     """
     total = nodes.agg(F.sum("node_w")).first()[0] or 0
-    capacity = (1 + slack) * total / k
-    arcs = cut(edges.select("src", "dst", F.col("w").cast("double").alias("w")), "cut-edges")
-    strength = arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("strength"))
-    loop, asked = Loop("parts"), Loop("wishes")
-    state = loop.step(
-        snake_start(nodes, k)
-        .join(strength, "id", "left")
-        .select("id", "node_w", "part", F.coalesce("strength", F.lit(0.0)).alias("strength"))
+    capacity = F.lit(float((1 + slack) * total / k))
+    plain = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    strength = plain.groupBy("src").agg(F.sum("w").alias("strength"))
+    arcs = cut(
+        plain.join(strength, "src").select("src", "dst", F.try_divide("w", "strength").alias("share")), "cut-arcs"
     )
+    asked = Loop("wishes")
+    state = cut(snake_start(nodes, k), "parts")
     best_score, stale = None, 0
     for sweep in range(sweeps):
         load = state.groupBy("part").agg(F.sum("node_w").alias("load"))
+        # a node hears the parts of its neighbours, and its own part even without a neighbour there
+        own = state.select("id", "part", F.lit(0.0).alias("share"), F.lit(1).alias("own"), "node_w")
         heard = (
             arcs.join(state.select(F.col("id").alias("dst"), "part"), "dst")
-            .select(F.col("src").alias("id"), "part", "w", F.lit(0).alias("own"))
-            .unionByName(state.select("id", "part", F.lit(0.0).alias("w"), F.lit(1).alias("own")))
+            .select(F.col("src").alias("id"), "part", "share", F.lit(0).alias("own"), F.lit(0).cast("bigint").alias("node_w"))
+            .unionByName(own)
             .groupBy("id", "part")
-            .agg(F.sum("w").alias("conn"), F.max("own").alias("own"))
-        )
-        room = 1 - F.coalesce("load", F.lit(0)) / F.lit(float(capacity))
-        weighed = (
-            heard.join(load, "part", "left")
-            .join(state.select("id", "strength"), "id")
-            .withColumn("score", F.coalesce(F.try_divide("conn", "strength"), F.lit(0.0)) + room)
-        )
-        ranked = F.struct(F.round("score", SCORE_DIGITS).alias("score"), "own", (-F.col("part")).alias("part"))
-        choice = weighed.groupBy("id").agg(
-            F.max(ranked).alias("best"), F.max(F.when(F.col("own") == 1, F.col("conn"))).alias("conn")
+            .agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("conn"), F.max("own").alias("own"), F.max("node_w").alias("node_w"))
+            .join(load, "part", "left")
+            .withColumn("load", F.coalesce("load", F.lit(0).cast("bigint")))
         )
+        score = F.round(F.col("conn") + 1 - F.col("load") / capacity, SCORE_DIGITS).alias("score")
+        mine = F.col("own") == 1
         wishes = asked.step(
-            state.join(choice, "id").select(
-                "id", "node_w", "part", "strength", "conn", (-F.col("best.part")).alias("wish")
+            heard.groupBy("id")
+            .agg(
+                F.max(F.struct(score, "own", (-F.col("part")).alias("part"), "load")).alias("best"),
+                F.max(F.when(mine, F.col("part"))).alias("part"),
+                F.max(F.when(mine, F.col("conn"))).alias("conn"),
+                F.max("node_w").alias("node_w"),
             )
+            .filter("part IS NOT NULL")
+            .select("id", "node_w", "part", "conn", (-F.col("best.part")).alias("wish"), F.col("best.load").alias("load"))
         )
-        demand = (
+        # one row per part: the share of its applicants that its free capacity admits
+        admitted = (
             wishes.filter("wish <> part")
             .groupBy("wish")
-            .agg(F.sum("node_w").alias("demand"))
-            .join(load.select(F.col("part").alias("wish"), "load"), "wish", "left")
-            .select("wish", ((F.lit(float(capacity)) - F.coalesce("load", F.lit(0))) / F.col("demand")).alias("rate"))
+            .agg(((capacity - F.max("load")) / F.sum("node_w")).alias("rate"))
         )
         moves = (F.col("wish") != F.col("part")) & (hash_draw("id", seed=seed * 1009 + sweep) < F.col("rate"))
-        state = loop.step(
-            wishes.join(demand, "wish", "left").select(
-                "id", "node_w", F.when(moves, F.col("wish")).otherwise(F.col("part")).alias("part"), "strength"
-            )
+        state = wishes.join(admitted, "wish", "left").select(
+            "id", "node_w", F.when(moves, F.col("wish")).otherwise(F.col("part")).alias("part")
         )
-        inside, weight = wishes.agg(F.sum("conn"), F.sum("strength")).first()
-        score = (inside or 0.0) / weight if weight else 0.0
-        if best_score is not None and score < best_score * (1 + min_gain):
+        score_now = wishes.agg(F.avg("conn")).first()[0] or 0.0
+        if best_score is not None and score_now < best_score * (1 + min_gain):
             stale += 1
             if stale >= patience:
                 break
         else:
             stale = 0
-        best_score = score if best_score is None else max(best_score, score)
-    return state.select("id", "node_w", "part")
+        best_score = score_now if best_score is None else max(best_score, score_now)
+    return state
 
 
 def project_partition(levels: DataFrame, rounds: int, parts: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -41,9 +41,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return _write(df, new_path(df.sparkSession, name))
 
 
+def settled(df: DataFrame, name: str = "input") -> DataFrame:
+    """``df`` as a table that a loop can read again and again: cut unless it already is a cut."""
+    return df if getattr(df, "_is_cut", False) else cut(df, name)
+
+
 def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._is_cut = True
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
