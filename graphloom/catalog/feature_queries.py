@@ -329,9 +329,9 @@ def _(spark, d):
 # customers have their features, suppliers [s_acctbal, 1, 0]
 NODE_FEATURE_SQL = """
 node_cells AS (
-  SELECT subgraph_id, id, idx, x / 1000 AS x FROM cells
+  SELECT subgraph_id, id, idx, x / 997.3371::DOUBLE AS x FROM cells
   UNION ALL SELECT CAST(s_nationkey AS INTEGER), 100000000 + s_suppkey, i,
-    CASE i WHEN 0 THEN s_acctbal / 1000 WHEN 1 THEN 1.0 ELSE 0.0 END FROM supplier, range(0, 3) r(i)
+    CASE i WHEN 0 THEN s_acctbal / 997.3371::DOUBLE WHEN 1 THEN 1.0 ELSE 0.0 END FROM supplier, range(0, 3) r(i)
 ),
 passed AS (
   SELECT a.subgraph_id, a.row AS id, c.idx, SUM(a.val * c.x) AS x FROM adj a
@@ -342,12 +342,12 @@ NODE_CTES = (NATION_SQL, LOOPED_SQL, SYM_SQL, FEATURE_SQL, CELL_SQL, NODE_FEATUR
 
 def node_features(spark, d):
     customers = customer_features(spark, d).select(
-        "subgraph_id", "id", F.transform("features", lambda x: x / 1000).alias("features")
+        "subgraph_id", "id", F.transform("features", lambda x: x / 997.3371).alias("features")
     )
     suppliers = table(spark, d, "supplier").select(
         F.col("s_nationkey").cast("int").alias("subgraph_id"),
         (F.col("s_suppkey") + 100000000).alias("id"),
-        F.array(F.col("s_acctbal") / 1000, F.lit(1.0), F.lit(0.0)).alias("features"),
+        F.array(F.col("s_acctbal") / 997.3371, F.lit(1.0), F.lit(0.0)).alias("features"),
     )
     return customers.union(suppliers)
 
@@ -415,9 +415,9 @@ def _(spark, d):
     "embed_dgi",
     with_(NATION_SQL, LOOPED_SQL, FEATURE_SQL, CELL_SQL)
     + f""", node_cells AS (
-      SELECT subgraph_id, id, idx, x / 1000 AS x FROM cells
+      SELECT subgraph_id, id, idx, x / 997.3371::DOUBLE AS x FROM cells
       UNION ALL SELECT CAST(s_nationkey AS INTEGER), 100000000 + s_suppkey, i,
-        CASE i WHEN 0 THEN s_acctbal / 1000 WHEN 1 THEN 1.0 ELSE 0.0 END FROM supplier, range(0, 3) r(i)),
+        CASE i WHEN 0 THEN s_acctbal / 997.3371::DOUBLE WHEN 1 THEN 1.0 ELSE 0.0 END FROM supplier, range(0, 3) r(i)),
     row_total AS (SELECT subgraph_id, id, SUM(x) AS t FROM node_cells GROUP BY 1, 2),
     normed AS (SELECT c.subgraph_id, c.id, c.idx, CASE WHEN t = 0 THEN 0 ELSE x / t END AS x FROM node_cells c
       JOIN row_total r ON c.subgraph_id = r.subgraph_id AND c.id = r.id),
@@ -562,7 +562,7 @@ edge_sims AS (SELECT e.subgraph_id, e.src, e.dst, ROUND(LIST_COSINE_SIMILARITY(a
 
 @query("edge_similarity", with_(VECTOR_SQL, VEC_EDGE_SQL, TOP_SQL, EDGE_SIM_SQL) + "SELECT subgraph_id, src, dst, ROUND(sim, 6) AS sim FROM edge_sims")
 def _(spark, d):
-    return M.edge_similarity(_vec_edges(spark, d), vectors(spark, d), SUB).withColumn("sim", F.round("sim", 6))
+    return M.edge_similarity(_vec_edges(spark, d), vectors(spark, d), SUB).withColumn("sim", F.round(F.round("sim", 9), 6))
 
 
 @query(

@@ -17,6 +17,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A value named inside a lambda of ``transform`` would be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Drop white space (tabs too) at both ends."""
     return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
@@ -127,14 +135,12 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def log_sum_exp(logits: Column | str) -> Column:
     logits = _col(logits)
-    top = F.array_max(logits)
-    return top + F.log(vector_sum(F.transform(logits, lambda x: F.exp(x - top))))
+    return let(F.array_max(logits), lambda top: top + F.log(vector_sum(F.transform(logits, lambda x: F.exp(x - top)))))
 
 
 def softmax(logits: Column | str) -> Column:
     logits = _col(logits)
-    lse = log_sum_exp(logits)
-    return F.transform(logits, lambda x: F.exp(x - lse))
+    return let(log_sum_exp(logits), lambda lse: F.transform(logits, lambda x: F.exp(x - lse)))
 
 
 def sigmoid(x: Column | str) -> Column:
@@ -160,9 +166,11 @@ def layer_norm(vec: Column | str, offset=None, scale=None, eps: float = 1e-9) ->
     """
     vec = _col(vec)
     n = F.size(vec)
-    mean = vector_sum(vec) / n
-    var = vector_sum(F.transform(vec, lambda x: (x - mean) * (x - mean))) / n
-    out = F.transform(vec, lambda x: (x - mean) / F.sqrt(var + eps))
+    centred = let(vector_sum(vec) / n, lambda mean: F.transform(vec, lambda x: x - mean))
+    out = let(
+        centred,
+        lambda c: let(F.sqrt(dot(c, c) / n + eps), lambda root: F.transform(c, lambda x: x / root)),
+    )
     if scale is not None:
         out = F.zip_with(out, _array(scale), lambda x, s: x * s)
     if offset is not None:
@@ -179,14 +187,12 @@ def _array(values) -> Column:
 def row_normalize(vec: Column | str) -> Column:
     """Divide by the row sum; a row that sums to 0 becomes zeros."""
     vec = _col(vec)
-    total = vector_sum(vec)
-    return F.transform(vec, lambda x: F.when(total == 0, 0.0).otherwise(x / total))
+    return let(vector_sum(vec), lambda total: F.transform(vec, lambda x: F.when(total == 0, 0.0).otherwise(x / total)))
 
 
 def unit_vector(vec: Column | str) -> Column:
     vec = F.transform(_col(vec), lambda x: x.cast("double"))
-    norm = F.sqrt(vector_sum(F.transform(vec, lambda x: x * x)))
-    return F.transform(vec, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+    return let(F.sqrt(dot(vec, vec)), lambda norm: F.transform(vec, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import default_weight
 from graphloom.operators.ordering import hash_key, rank_rows
+from graphloom.scratch import settled
 
 # ---- projections and set operations
 
@@ -24,7 +25,15 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(reverse_edges(edges))
+    # exploded instead of a union, so that the input is read once
+    ends = F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    )
+    others = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.select(F.explode(ends).alias("_e"), *others).select(
+        *[F.col(f"_e.{c}").alias(c) if c in ("src", "dst") else F.col(c) for c in edges.columns]
+    )
 
 
 def drop_self_loops(edges: DataFrame) -> DataFrame:
@@ -58,12 +67,8 @@ def merge_graphs(graphs: dict[str, DataFrame], tag: str = "source") -> DataFrame
 
 
 def distinct_nodes(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    # endpoints are unioned as rows, made distinct before and after the shuffle
-    return (
-        edges.select(*by, F.col("src").alias("id"))
-        .union(edges.select(*by, F.col("dst").alias("id")))
-        .distinct()
-    )
+    # distinct works before and after the shuffle, so a hub's many rows are not moved
+    return edges.select(*by, F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def init_labels(edges: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def symmetrize_max(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def incident_weights(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row per edge end: node and weight."""
-    return both_directions(edges.select(*by, "src", "dst", "w")).select(*by, F.col("src").alias("id"), "w")
+    return edges.select(*by, F.explode(F.array("src", "dst")).alias("id"), "w")
 
 
 def node_weight_range(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -193,7 +198,7 @@ def threshold_join(
     ``thresholds`` has ``id, threshold``. The compared value is the edge column ``value``, or, when
     that is None, the end's own column ``node_value`` of ``thresholds``. ``how`` joins the two tests.
     """
-    out = edges
+    out, thresholds = edges, settled(thresholds, "thresholds")
     tests = []
     for end in ("src", "dst"):
         own = [F.col(node_value).alias(f"_{end}_value")] if value is None else []

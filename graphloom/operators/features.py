@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars
 from graphloom.operators.edges import add_self_loops, distinct_nodes, sum_duplicate_edges
 from graphloom.operators.ordering import hash_key, rank_rows
-from graphloom.scratch import Loop
+from graphloom.scratch import Loop, per_key
 
 
 def _gather(long: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def standardize(nodes: DataFrame, by: Sequence[str] = ("subgraph_id",)) -> DataF
         .agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), (F.min(x) == F.max(x)).alias("flat"))
         .withColumn("scale", F.struct("mean", F.when(F.col("flat") | (F.col("sd") == 0), None).otherwise(F.col("sd")).alias("sd")))
     )
-    per_group = _gather(stats, by, "scale", "_stats")
+    per_group = per_key(_gather(stats, by, "scale", "_stats"), "stats")
     scaled = F.zip_with(
         "features", "_stats", lambda v, s: F.when(s.sd.isNull(), 0.0).otherwise((v - s.mean) / s.sd)
     )
@@ -90,7 +90,7 @@ def normalize_adjacency(
         a = sum_duplicate_edges(edges, by).withColumn("w", F.col("w").cast("double"))
     else:
         raise ValueError(f"unknown kind {kind}")
-    deg = a.groupBy(*by, "src").agg(F.sum("w").alias("_d"))
+    deg = per_key(a.groupBy(*by, "src").agg(F.sum("w").alias("_d")), "degree")
     own = a.join(deg, [*by, "src"])
     if kind == "row":
         return own.select(*by, F.col("src").alias("row"), F.col("dst").alias("col"), (F.col("w") / F.greatest(F.lit(1.0), "_d")).alias("val"))
@@ -175,7 +175,7 @@ def bilinear_score(
     by = list(by)
     matrix = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in weight])
     projected = summary.select(*by, F.transform(matrix, lambda row: scalars.dot(row, F.col("features"))).alias("_wc"))
-    return nodes.join(projected, by).select(*by, "id", (scalars.dot("features", "_wc") + bias).alias("score"))
+    return nodes.join(per_key(projected, "summary"), by).select(*by, "id", (scalars.dot("features", "_wc") + bias).alias("score"))
 
 
 def shuffle_features(

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.edges import label_sizes
+from graphloom.scratch import per_key
 
 SCORE_DIGITS = 9  # scores are rounded before ranking, so ties do not depend on the order of sums
 
 
 def label_state(labels: DataFrame, cap: int) -> DataFrame:
     """Every node with its label, the label's size, and whether that label is frozen."""
-    return labels.join(label_sizes(labels, cap), "label").select("id", "label", "frozen", "size")
+    return labels.join(per_key(label_sizes(labels, cap), "sizes"), "label").select("id", "label", "frozen", "size")
 
 
 def send_labels(edges: DataFrame, state: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import log_sum_exp, predict_class, sigmoid, vector_sum
+from graphloom.functions.scalars import let, log_sum_exp, predict_class, sigmoid, vector_sum
 from graphloom.operators.ordering import prefix_sum
 
 
@@ -18,8 +18,7 @@ def _ratio(a: Column, b: Column) -> Column:
 def row_loss(kind: str, logits: str = "logits", target: str = "target") -> Column:
     """Cross-entropy of one row. ``target`` is the one-hot or multi-label array; [0, 0] costs 0 under softmax."""
     if kind == "softmax":
-        lse = log_sum_exp(logits)
-        return vector_sum(F.zip_with(logits, target, lambda x, y: y * (lse - x)))
+        return let(log_sum_exp(logits), lambda lse: vector_sum(F.zip_with(logits, target, lambda x, y: y * (lse - x))))
     if kind == "sigmoid":
         cell = F.zip_with(
             logits, target, lambda x, y: F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.draws import hash_draw, portable_draw
 from graphloom.operators.edges import out_strength
 from graphloom.operators.ordering import hash_key, rank_rows
+from graphloom.scratch import per_key, settled
 
 Draw = Callable[[str, str, int], Column]
 
@@ -32,7 +33,8 @@ def sample_edges(
     probability ``min(nbr_upper / degree, save_ratio)``. Degrees are counted with partial sums and
     joined back, so that a hub's edges need not meet in one task.
     """
-    stats = out_strength(edges)
+    edges = settled(edges)
+    stats = per_key(out_strength(edges), "strength")
     share = F.col("w").cast("double") / F.col("strength")
     keep_rate = F.least(F.lit(float(nbr_upper)) / F.col("degree"), F.lit(float(save_ratio)))
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.draws import hash_draw
@@ -22,7 +22,7 @@ from graphloom.operators import labels as steps
 from graphloom.operators.labels import SCORE_DIGITS, lp_iteration
 from graphloom.operators.ordering import rank_rows
 from graphloom.operators.sampling import Draw, edge_draw, sample_edges
-from graphloom.scratch import Loop, cut, new_path, settled
+from graphloom.scratch import Loop, cut, new_path, per_key, settled
 
 
 def size_cap(n_nodes: int, k: int) -> int:
@@ -92,7 +92,8 @@ def coarsen(
         working = loop.step(sample_edges(graph, nbr_upper, w_ratio, save_ratio, seed + r, draw))
         start = members.select("id", F.col("id").alias("label"))
         if weighted_cap and weights is not None:
-            labels = _propagate_weighted(working, start, weights, k, lp_iterations)
+            total = weights.agg(F.sum("node_w")).first()[0]
+            labels = _propagate_weighted(working, start, weights, size_cap(int(total), k), lp_iterations)
         else:
             labels = label_propagation(working, k, lp_iterations, labels=start)
         write_level(labels, path, r + 1)
@@ -108,16 +109,14 @@ def coarsen(
     return Coarse(cut(symmetrize_max(final), "coarse-edges"), nodes, levels, rounds)
 
 
-def _propagate_weighted(edges, labels, weights, k, iterations):
+def _propagate_weighted(edges: DataFrame, labels: DataFrame, weights: DataFrame, cap: int, iterations: int) -> DataFrame:
     """Label propagation whose sizes and cap count original nodes."""
-    total = weights.agg(F.sum("node_w")).first()[0]
-    cap = size_cap(int(total), k)
     loop = Loop("labels")
     labels = loop.step(labels)
     for _ in range(iterations):
         weighed = labels.join(weights, "id")
         sizes = weighed.groupBy("label").agg(F.sum("node_w").alias("size"))
-        sizes = sizes.withColumn("frozen", F.col("size") >= cap)
+        sizes = per_key(sizes.withColumn("frozen", F.col("size") >= cap), "sizes")
         state = labels.join(sizes, "label").select("id", "label", "frozen", "size")
         best = steps.argmax_label(steps.label_scores(steps.send_labels(edges, state)))
         labels = loop.step(steps.update_labels(state, best))
@@ -162,7 +161,7 @@ def balanced_parts(
     sweeps: int = 20,
     slack: float = 0.05,
     seed: int = 0,
-    patience: int = 3,
+    patience: int = 6,
     min_gain: float = 0.001,
 ) -> DataFrame:
     """Balanced k-way parts of a vertex-weighted graph, as ``(id, node_w, part)``.
@@ -174,14 +173,13 @@ def balanced_parts(
     total = nodes.agg(F.sum("node_w")).first()[0] or 0
     capacity = F.lit(float((1 + slack) * total / k))
     plain = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
-    strength = plain.groupBy("src").agg(F.sum("w").alias("strength"))
+    strength = per_key(plain.groupBy("src").agg(F.sum("w").alias("strength")), "strength")
     arcs = cut(
         plain.join(strength, "src").select("src", "dst", F.try_divide("w", "strength").alias("share")), "cut-arcs"
     )
-    asked = Loop("wishes")
     state = cut(snake_start(nodes, k), "parts")
-    best_score, stale = None, 0
-    for sweep in range(sweeps):
+    best, best_score, stale = state, None, 0
+    for sweep in range(sweeps + 1):
         load = state.groupBy("part").agg(F.sum("node_w").alias("load"))
         # a node hears the parts of its neighbours, and its own part even without a neighbour there
         own = state.select("id", "part", F.lit(0.0).alias("share"), F.lit(1).alias("own"), "node_w")
@@ -191,12 +189,12 @@ def balanced_parts(
             .unionByName(own)
             .groupBy("id", "part")
             .agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("conn"), F.max("own").alias("own"), F.max("node_w").alias("node_w"))
-            .join(load, "part", "left")
+            .join(_small(load, k), "part", "left")
             .withColumn("load", F.coalesce("load", F.lit(0).cast("bigint")))
         )
         score = F.round(F.col("conn") + 1 - F.col("load") / capacity, SCORE_DIGITS).alias("score")
         mine = F.col("own") == 1
-        wishes = asked.step(
+        wishes = cut(
             heard.groupBy("id")
             .agg(
                 F.max(F.struct(score, "own", (-F.col("part")).alias("part"), "load")).alias("best"),
@@ -205,27 +203,50 @@ def balanced_parts(
                 F.max("node_w").alias("node_w"),
             )
             .filter("part IS NOT NULL")
-            .select("id", "node_w", "part", "conn", (-F.col("best.part")).alias("wish"), F.col("best.load").alias("load"))
+            .select("id", "node_w", "part", "conn", (-F.col("best.part")).alias("wish"), F.col("best.load").alias("load")),
+            "wishes",
         )
-        # one row per part: the share of its applicants that its free capacity admits
-        admitted = (
-            wishes.filter("wish <> part")
-            .groupBy("wish")
-            .agg(((capacity - F.max("load")) / F.sum("node_w")).alias("rate"))
-        )
-        moves = (F.col("wish") != F.col("part")) & (hash_draw("id", seed=seed * 1009 + sweep) < F.col("rate"))
-        state = wishes.join(admitted, "wish", "left").select(
-            "id", "node_w", F.when(moves, F.col("wish")).otherwise(F.col("part")).alias("part")
-        )
-        score_now = wishes.agg(F.avg("conn")).first()[0] or 0.0
-        if best_score is not None and score_now < best_score * (1 + min_gain):
+        per_part = wishes.groupBy("part").agg(F.sum("node_w").alias("load"), F.sum("conn").alias("conn"), F.count(F.lit(1)).alias("n"))
+        inside, n, fullest = per_part.agg(F.sum("conn"), F.sum("n"), F.max("load") / capacity).first()
+        # share of the neighbours inside, less the overload of the fullest part
+        score_now = (inside or 0.0) / max(n or 1, 1) - max((fullest or 0.0) - 1.0, 0.0)
+        if best_score is not None and score_now < best_score + min_gain * abs(best_score):
             stale += 1
-            if stale >= patience:
-                break
         else:
             stale = 0
-        best_score = score_now if best_score is None else max(best_score, score_now)
-    return state
+        if best_score is None or score_now > best_score:
+            best, best_score = wishes.select("id", "node_w", "part"), score_now
+        if stale >= patience or sweep == sweeps:
+            break
+        moves = (F.col("wish") != F.col("part")) & (hash_draw("id", seed=seed * 1009 + sweep) < F.col("rate"))
+        state = wishes.join(_small(_admission(wishes, capacity), k * k), ["part", "wish"], "left").select(
+            "id", "node_w", F.when(moves, F.col("wish")).otherwise(F.col("part")).alias("part")
+        )
+    return best
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table that has at most ``rows`` rows, when that is few; else leave it to Spark."""
+    return F.broadcast(df) if rows <= 100_000 else per_key(df)
+
+
+def _admission(wishes: DataFrame, capacity: Column, damping: float = 0.9) -> DataFrame:
+    """Per pair of parts ``(part, wish)`` with movers, the ``rate`` of them that may go.
+
+    As much weight as wants to come the other way is exchanged; beyond that, the movers into a part
+    share its free capacity. ``damping`` keeps some back, or two neighbours that want to join each
+    other would trade places for ever. The table has at most one row per pair of parts.
+    """
+    flow = wishes.filter("wish <> part").groupBy("part", "wish").agg(F.sum("node_w").alias("out"), F.max("load").alias("load"))
+    back = flow.select(F.col("part").alias("wish"), F.col("wish").alias("part"), F.col("out").alias("back"))
+    into = flow.groupBy("wish").agg(F.sum("out").alias("demand"))
+    free = F.greatest(capacity - F.col("load"), F.lit(0.0))
+    swapped = F.least("out", F.coalesce("back", F.lit(0)))
+    return (
+        flow.join(back, ["part", "wish"], "left")
+        .join(into, "wish")
+        .select("part", "wish", (damping * (swapped / F.col("out") + free / F.col("demand"))).alias("rate"))
+    )
 
 
 def project_partition(levels: DataFrame, rounds: int, parts: DataFrame, k: int, seed: int = 0) -> DataFrame:

@@ -41,6 +41,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return _write(df, new_path(df.sparkSession, name))
 
 
+def per_key(df: DataFrame, name: str = "per-key") -> DataFrame:
+    """An aggregate that is about to be joined back to its own rows, as a table.
+
+    Spark splits a skewed partition of a join only when both sides come straight out of a shuffle. An
+    aggregate keeps the partitioning of its key, so it would be joined in place and a hot key's rows
+    would all meet in one task. Read back as a table it is shuffled like the other side, and the hot
+    key is split; when the table is small it is broadcast, by its true size.
+    """
+    return cut(df, name)
+
+
 def settled(df: DataFrame, name: str = "input") -> DataFrame:
     """``df`` as a table that a loop can read again and again: cut unless it already is a cut."""
     return df if getattr(df, "_is_cut", False) else cut(df, name)
