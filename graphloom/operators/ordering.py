@@ -36,7 +36,10 @@ def with_value_slot(df: DataFrame, key: str, slot: str = "_slot") -> DataFrame:
     n = slot_count(df)
     numeric = df.select(F.col(key).cast("double").alias("_slot_key"))
     cuts = numeric.approxQuantile("_slot_key", [i / n for i in range(1, n)], 1 / (4 * n))
-    splits = [float("-inf"), *sorted({c for c in cuts if abs(c) != float("inf")}), float("inf")]
+    inner = sorted({c for c in cuts if abs(c) != float("inf")})
+    if not inner:  # no rows, or no finite key
+        return df.withColumn(slot, F.lit(0))
+    splits = [float("-inf"), *inner, float("inf")]
     wide = df.withColumn("_slot_key", F.col(key).cast("double"))
     bucketizer = Bucketizer(splits=splits, inputCol="_slot_key", outputCol=slot, handleInvalid="keep")
     return bucketizer.transform(wide).drop("_slot_key").withColumn(slot, F.col(slot).cast("int"))

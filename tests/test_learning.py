@@ -76,7 +76,7 @@ def test_node2vec_tells_blocks_apart(spark):
     pairs = {(b * 12 + i, b * 12 + j) for b in range(2) for i in range(12) for j in rng.sample(range(12), 5) if i < j}
     pairs |= {(0, 12)}
     edges = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "src long, dst long, w double")
-    vecs = {r["id"]: np.array(r["vec"]) for r in A.node2vec(edges, dim=6, walk_length=10, num_walks=6, window=4, epochs=12).collect()}
+    vecs = {r["id"]: np.array(r["vec"]) for r in A.node2vec(edges, dim=6, walk_length=8, num_walks=5, window=4, epochs=8).collect()}
     unit = {i: v / np.linalg.norm(v) for i, v in vecs.items()}
     sims = {True: [], False: []}
     for a in unit:
@@ -236,7 +236,7 @@ def test_gcn_gradients(spark, small, precalc, norm):
 
 def test_gcn_learns(spark, small):
     nodes, _, adj, _ = small
-    model = G.fit_gcn(nodes, adj, layers=2, hidden=8, epochs=6, lr=0.05, weight_decay=1e-4, validation=(nodes, adj), early_stopping=2)
+    model = G.fit_gcn(nodes, adj, layers=2, hidden=8, epochs=4, lr=0.05, weight_decay=1e-4, validation=(nodes, adj), early_stopping=2)
     losses = [h["loss"] for h in model.history]
     assert losses[-1] < losses[0] and "val_loss" in model.history[0]
     batched = G.fit_gcn(nodes, adj, layers=2, hidden=4, epochs=1, groups_per_step=1, dropout=0.2)

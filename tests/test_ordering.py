@@ -63,6 +63,36 @@ def test_prefix_sum_without_groups(spark, rows):
     ]
 
 
+def test_empty_input(spark, rows):
+    empty = spark.createDataFrame([], "g string, v double")
+    assert rows(O.order_statistics(empty, "v", {"x": 0.5}, by=["g"])) == []
+
+
+def test_skewed_partition_of_a_join_with_an_aggregate_is_split(spark):
+    """Half of all edges leave one hub: its partition must be read by several tasks."""
+    from graphloom.operators import sampling as S
+
+    hub = spark.range(60000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("src"), F.col("id").alias("dst"), F.lit(1).alias("w"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        kept = S.sample_edges(hub, seed=1)
+        kept.write.format("noop").mode("overwrite").save()
+        kept.collect()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in plan or "isSkew=true" in plan or "(skew" in plan
+
+
 def test_roc_auc_with_ties(spark):
     rng = random.Random(3)
     data = [(rng.randint(0, 20) / 4.0, rng.randint(0, 1)) for _ in range(400)]
