@@ -116,6 +116,18 @@ def _(spark, d):
     return M.f1_scores(_verdict(spark, d)).select(F.round("micro_f1", 6).alias("micro_f1"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
+@query(
+    "multilabel_f1",
+    with_(SCORED_SQL, PRED_SQL)
+    + """, cells AS (SELECT 0 AS cls, l0 > 0 AS p, t0 = 1 AS t FROM pred UNION ALL SELECT 1, l1 > 0, t1 = 1 FROM pred),
+    c AS (SELECT cls, SUM(CAST(p AND t AS INTEGER)) AS tp, SUM(CAST(p AS INTEGER)) AS np, SUM(CAST(t AS INTEGER)) AS nt FROM cells GROUP BY 1)
+    SELECT ROUND(2.0::DOUBLE * SUM(tp) / (SUM(np) + SUM(nt)), 6) AS micro_f1, ROUND(AVG(2.0::DOUBLE * tp / (np + nt)), 6) AS macro_f1 FROM c""",
+)
+def _(spark, d):
+    out = M.multilabel_f1(predictions(spark, d))
+    return out.select(F.round("micro_f1", 6).alias("micro_f1"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
 @query(
     "binary_micro_f1",
     with_(SCORED_SQL)

@@ -121,6 +121,20 @@ def f1_scores(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
     return report.agg(pick("micro avg").alias("micro_f1"), pick("macro avg").alias("macro_f1"))
 
 
+def multilabel_f1(df: DataFrame, logits: str = "logits", target: str = "target") -> DataFrame:
+    """One row: micro and macro F1 over the classes of a multi-label target; a class is predicted above 0."""
+    cells = df.select(F.posexplode(F.arrays_zip(F.col(logits).alias("l"), F.col(target).alias("t"))).alias("cls", "c"))
+    hit, truth = F.col("c.l") > 0, F.col("c.t") > 0.5
+    count = lambda test: F.sum(test.cast("bigint"))
+    per = cells.groupBy("cls").agg(count(hit & truth).alias("tp"), count(hit).alias("predicted"), count(truth).alias("support"))
+    # 2 tp / (predicted + support) is the harmonic mean of precision and recall
+    f1 = lambda tp, p, s: _ratio(2 * tp, p + s)
+    per = per.withColumn("f1", f1(F.col("tp"), F.col("predicted"), F.col("support")))
+    return per.agg(
+        f1(F.sum("tp"), F.sum("predicted"), F.sum("support")).alias("micro_f1"), F.avg("f1").alias("macro_f1")
+    )
+
+
 def binary_micro_f1(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """F1 of the positive class, predicted by the rounded sigmoid of the score."""
     pred = F.rint(sigmoid(score)).cast("int")

@@ -311,3 +311,19 @@ def test_classifier_and_probe(spark):
     emb = nodes.filter("label IS NOT NULL").select("id", F.col("features").alias("vec"), "label", F.col("is_masked").alias("is_train"))
     runs = C.logistic_probe(emb, repeats=3, steps=40, lr=0.1).collect()
     assert len(runs) == 3 and all(r["accuracy"] > 0.8 for r in runs)
+
+
+def test_functions_sent_to_executors_need_no_installed_package():
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from graphloom.functions.network import softmax_rows, stack
+
+    blob = cloudpickle.dumps(lambda pdf: softmax_rows(stack(pdf)))
+    assert b"graphloom" not in blob or pickle.loads(blob)
+    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); import pandas as pd; print(f(pd.Series([[0.0, 0.0]])))"
+    out = subprocess.run([sys.executable, "-c", code], input=blob, capture_output=True, cwd="/", check=True)
+    assert b"0.5" in out.stdout
