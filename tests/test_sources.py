@@ -129,6 +129,6 @@ def test_recent_files(spark, tmp_path):
 
 
 def test_score_rows_with_date(spark, tmp_path):
-    scores = spark.createDataFrame([("20210103", "o1", "r1", -0.5)], "dt string, openid string, roleid string, p double")
-    writers.write_scores(scores, str(tmp_path / "s"), ("dt", "openid", "roleid", "p"), "\x01")
+    scores = spark.createDataFrame([("20210103", "o1", "r1", -0.5)], "dt string, account string, role string, p double")
+    writers.write_scores(scores, str(tmp_path / "s"), ("dt", "account", "role", "p"), "\x01")
     assert spark.read.text(str(tmp_path / "s")).first()[0] == "20210103\x01o1\x01r1\x01-0.5"
