@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.catalog.common import Catalog
+from graphloom.llm.anchored_pii import personal_data
+from graphloom.llm.merge_dropout import encode
+from graphloom.llm.rule_ledger import BASE, PROSE, ledger, passes
 from graphloom.llm.superminhash import near_duplicates
 from graphloom.llm.tables import table
+from graphloom.llm.template_decontamination import contaminated
 
 CATALOG = Catalog()
 
@@ -45,3 +50,52 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_id l O
 @CATALOG.query("op10_superminhash", OP10_SQL)
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""WITH
+words AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+runs AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY 1),
+m AS (
+  SELECT words.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+    length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+    length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs
+  FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id),
+bits AS (
+  SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+    + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (n_letters >= 40 AND 100 * n_upper > 50 * n_letters)::INT
+    + 32 * (word_chars > 20 * n_words)::INT + 64 * (100 * n_bangs > 50 * n_words)::INT AS BIGINT) AS failed_bits
+  FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM bits"""
+
+
+@CATALOG.query("op4_rule_ledger", OP4_SQL)
+def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.col("failed_bits")
+    return ledger(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~passes(bits, BASE)).alias("base_failed"), passes(bits, PROSE).alias("kept"), "failed_bits",
+    )
+
+
+@CATALOG.query("op2_merge_dropout", None)
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op3_anchored_pii", None)
+def op3_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op9_template_decontamination", None)
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import UnionFind, components
-from graphloom.llm.tables import cut, forget, partitions, small, utf8
+from graphloom.llm.tables import cut, forget, fresh, partitions, small, utf8
 from graphloom.llm.words import U64, WordHasher, checksum, mix, slices, windows
 
 WORDS = 5
@@ -250,3 +250,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, that of the smallest doc_id, with the columns it came with.
+
+    Empty documents and rows without a doc_id are all kept. Of several rows of a kept doc_id, one stays.
+    """
+    name = fresh(docs)
+    groups = cut(near_duplicates(docs, percent), "groups")
+    kept = groups.where("kept and doc_id is not null")
+    ids = kept.select(F.col("doc_id").alias(name)).distinct()
+    out = docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_semi")
+    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out.union(docs.where("doc_id is null"))
+    return out.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))

@@ -39,3 +39,12 @@ def small(df: DataFrame, most: int) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(df: DataFrame) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    n = 0
+    while f"tmp_{n}" in taken:
+        n += 1
+    return f"tmp_{n}"

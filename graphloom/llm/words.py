@@ -58,6 +58,13 @@ class WordHasher:
         if not space[0]:
             edges = np.concatenate([[0], edges])
         starts, ends = edges[::2], edges[1::2]
+        hashes = self.numbers(codes, starts, ends)
+        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(length)]))
+        return Words(hashes, starts, ends, first, buf)
+
+    def numbers(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the byte spans; both arrays rise."""
         hashes = np.empty(len(starts), U64)
         at = 0
         while at < len(starts):
@@ -72,9 +79,7 @@ class WordHasher:
             lo = starts[at:to] - base
             hashes[at:to] = (sums[ends[at:to] - base] - sums[lo]) * self.inverse[lo]
             at = to
-        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(length)]))
-        return Words(mix(hashes), starts, ends, first, buf)
+        return mix(hashes)
 
     def _long(self, codes: np.ndarray) -> np.uint64:
         total = 0
