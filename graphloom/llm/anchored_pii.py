@@ -137,7 +137,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     counts = [f"n_{kind}" for kind in KINDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             found = [find(t) for t in batch["text"].to_pylist()]
             base = [hashlib.sha256(listed(f, BASE_KINDS).encode()).hexdigest() for f in found]
             columns = [pa.array([len(f[kind]) for f in found], pa.int64()) for kind in KINDS]

@@ -279,11 +279,11 @@ def encode(docs: DataFrame, file: str | None = None, rate: float = RATE, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(file, rate, seed, variants), Decoder(file)
         for batch in batches:
-            doc_ids, texts = batch["doc_id"], batch["text"].to_pylist()
+            doc_ids = batch["doc_id"]
             variant = encoder.variant_of(doc_ids.fill_null(0).to_numpy(zero_copy_only=False))
-            for lo, hi in slices(texts, 2 << 20):
-                ids, first = encoder(texts[lo:hi], variant[lo:hi])
-                same = [a == (b or b"") for a, b in zip(decoder(ids, first), texts[lo:hi])]
+            for lo, hi, texts in slices(batch["text"]):
+                ids, first = encoder(texts, variant[lo:hi])
+                same = [a == (b or b"") for a, b in zip(decoder(ids, first), texts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids.slice(lo, hi - lo),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.catalog.common import Catalog
 from graphloom.llm.anchored_pii import personal_data
+from graphloom.llm.backoff_automaton import log_probabilities
 from graphloom.llm.merge_dropout import encode
 from graphloom.llm.rule_ledger import BASE, PROSE, ledger, passes
 from graphloom.llm.superminhash import near_duplicates
@@ -99,3 +100,36 @@ def op3_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op9_template_decontamination", None)
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: unsigned CRC-32 of the digits of doc_id, bit by bit
+CRC = """xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(1, 9 * len(doc_id::VARCHAR) + 1),
+    lambda i: CASE WHEN i % 9 = 1 THEN -1 - ascii(substr(doc_id::VARCHAR, ((i - 1) // 9 + 1)::INT, 1)) ELSE 0 END),
+    lambda c, b: CASE WHEN b < 0 THEN xor(c, -1 - b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END))"""
+
+OP5_SQL = (
+    "WITH"
+    + LOWER_WORDS
+    + """,
+split AS (SELECT doc_id, w || ['\n'] AS w, """
+    + CRC
+    + """ % 10 = 0 AS held_out FROM words),
+tokens AS (SELECT doc_id, held_out, unnest(w) AS t, unnest(['\n\n'] || w[1:len(w) - 1]) AS before FROM split),
+one AS (SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY 1),
+two AS (SELECT before, t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY 1, 2),
+context AS (SELECT t AS before, c AS h FROM one WHERE t <> '\n' UNION ALL SELECT '\n\n', c FROM one WHERE t = '\n'),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM one),
+p AS (
+  SELECT doc_id, held_out, n, coalesce(one.c, 0) AS c, (coalesce(one.c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p,
+    coalesce(two.c, 0) AS c2, coalesce(h, 0) AS h
+  FROM tokens CROSS JOIN n LEFT JOIN one USING (t) LEFT JOIN two USING (before, t) LEFT JOIN context USING (before))
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, n AS train_tokens,
+  round(fsum(log10(p)), 6) AS base_score, round(fsum(log10((c2 + 100 * p) / (h + 100))), 6) AS score
+FROM p GROUP BY doc_id, held_out, n"""
+)
+
+
+@CATALOG.query("op5_backoff_automaton", OP5_SQL)
+def op5_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = log_probabilities(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})

@@ -111,9 +111,9 @@ def measure_texts(hasher: WordHasher, texts: list[bytes | None]) -> list[np.ndar
 
 @F.arrow_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
 def _measure(texts: pa.Array) -> pa.Array:
-    hasher, texts = WordHasher(), texts.to_pylist()
-    parts = [measure_texts(hasher, texts[lo:hi]) for lo, hi in slices(texts)]
-    columns = [np.concatenate(c) if parts else np.zeros(0, np.int64) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(MEASURES)
+    hasher = WordHasher()
+    parts = [[np.zeros(0, np.int64)] * len(MEASURES), *(measure_texts(hasher, some) for _, _, some in slices(texts))]
+    columns = [np.concatenate(c) for c in zip(*parts)]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(MEASURES))
 
 

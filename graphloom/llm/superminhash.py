@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import UnionFind, components
+from graphloom.llm.groups import runs_of_rows
 from graphloom.llm.tables import cut, forget, fresh, partitions, small, utf8
 from graphloom.llm.words import U64, WordHasher, checksum, mix, slices, windows
 
@@ -90,9 +91,9 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            ids, texts = batch["doc_id"], batch["text"].to_pylist()
-            for lo, hi in slices(texts):
-                sets = _shingle_sets(hasher, texts[lo:hi])
+            ids = batch["doc_id"]
+            for lo, hi, texts in slices(batch["text"]):
+                sets = _shingle_sets(hasher, texts)
                 first = np.cumsum([0, *map(len, sets)])
                 values = signatures(np.concatenate(sets), first)
                 code = (values * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
@@ -112,29 +113,6 @@ def sketch(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, code binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows of equal keys in sorted batches; a run is bounded by the blocks it was made of."""
-    open_parts: list[pa.RecordBatch] = []
-    open_key = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows - 1, bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        edges = [0, *(np.flatnonzero(change) + 1), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:]):
-            key = tuple(c[a] for c in columns)
-            if open_parts and key != open_key:
-                yield pa.Table.from_batches(open_parts)
-                open_parts = []
-            open_parts.append(batch.slice(a, b - a))
-            open_key = key
-    if open_parts:
-        yield pa.Table.from_batches(open_parts)
-
-
 def _in_blocks(df: DataFrame, group: str, blocks: str) -> DataFrame:
     """Every row once for each pair of blocks of its group that its own block belongs to."""
     own = F.pmod(F.xxhash64("doc_id"), F.col(blocks))
@@ -152,7 +130,7 @@ def _similar_codes(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for part in _groups(batches, ["bucket", "lo", "hi"]):
+        for part in runs_of_rows(batches, ["bucket", "lo", "hi"]):
             ids = part["doc_id"].to_numpy()
             if len(ids) < 2:
                 continue
@@ -179,15 +157,15 @@ def _linked_sets(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for part in _groups(batches, ["loose", "lo", "hi"]):
+        for part in runs_of_rows(batches, ["loose", "lo", "hi"]):
             ids = part["doc_id"].to_numpy().astype(np.int64)
             if len(ids) < 2:
                 continue
             own = part["own"].to_numpy()
             across = own.min() != own.max()
-            texts, sets = part["text"].to_pylist(), []
-            for lo, hi in slices(texts):
-                sets += _shingle_sets(hasher, texts[lo:hi])
+            sets = []
+            for _, _, texts in slices(part["text"].combine_chunks()):
+                sets += _shingle_sets(hasher, texts)
             first = np.cumsum([0, *map(len, sets)])
             size = np.diff(first)
             _, number = np.unique(np.concatenate(sets), return_inverse=True)

@@ -126,9 +126,9 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, w
             table = np.zeros(1 << 20, bool)
             table[(wanted & U64((1 << 20) - 1)).astype(np.int64)] = True
         for batch in batches:
-            ids, texts = batch[0].to_pylist(), batch[1].to_pylist()
-            for lo, hi in slices(texts):
-                keys, kinds, first, form = templates(texts[lo:hi])
+            ids = batch[0].to_pylist()
+            for lo, hi, texts in slices(batch[1]):
+                keys, kinds, first, form = templates(texts)
                 counts = np.diff(first)
                 text_of = np.repeat(np.arange(hi - lo), counts)
                 for k in sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):

@@ -14,11 +14,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 #: bytes of text that one call of the hasher should get; longer single texts are allowed
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Words(NamedTuple):
@@ -89,17 +91,15 @@ class WordHasher:
         return U64(total % (1 << 64))
 
 
-def slices(texts: list[bytes | None], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes; a longer text stands alone."""
-    lo = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"") + 1
-        if size and size + n > most:
-            yield lo, i
-            lo, size = i, 0
-        size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, list]]:
+    """Ranges of rows of about ``most`` bytes of text, and their texts; a longer text stands alone."""
+    length = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    total = np.concatenate([[0], np.cumsum(length)])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, "right")) - 1)
+        yield lo, hi, texts.slice(lo, hi - lo).to_pylist()
+        lo = hi
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, k: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
