@@ -12,6 +12,7 @@ from graphloom.llm.backoff_automaton import log_probabilities
 from graphloom.llm.chat_prefix_tree import build_forest, read_conversations
 from graphloom.llm.extendible_hashing import shard_documents
 from graphloom.llm.merge_dropout import encode
+from graphloom.llm.rule_ensemble import quality_scores
 from graphloom.llm.rule_ledger import BASE, PROSE, ledger, passes
 from graphloom.llm.superminhash import near_duplicates
 from graphloom.llm.tables import table
@@ -180,3 +181,8 @@ def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     return read_conversations(*build_forest(given.union(extra)))
+
+
+@CATALOG.query("op1_rule_ensemble", None)
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
