@@ -8,7 +8,7 @@ With c the training counts, h a context and h' the same without its first word,
 if c(h w) > 0. Where there is no such arc, the failure arc to h' is taken at the price MASS / (c(h) + MASS). Reading a text
 from left to right, the automaton is in the state of the words last read and adds the logarithms on its way.
 
-Counts of a large corpus fit in no task, so the automaton is spread out. Documents are read in blocks of about a million
+Counts of a large corpus fit in no task, so the automaton is spread out. Documents are read in blocks of some hundred thousand
 tokens. A block sends its distinct n-grams and their training counts to the parts of the key space, one row a part; a
 part adds up and answers with the total counts; the block then has all states and arcs that its own texts can reach,
 and runs them through that automaton. So a frequent n-gram costs a part one entry a block, and nothing is broadcast.
@@ -35,8 +35,8 @@ from graphloom.llm.words import U64, WordHasher, checksum, mix, slices
 ORDER = 2
 MASS = 100.0
 FOLDS = 10  # one of them is held out
-BLOCK_TOKENS = 1_000_000
-PART_BYTES = 32 << 20  # of text to a part of the key space
+BLOCK_TOKENS = 400_000
+PART_BYTES = 8 << 20  # of text to a part of the key space
 START, END = U64(0x5354415254), U64(0x454E44)  # in place of a word's number
 BASE = U64(0x9E3779B97F4A7C15)
 

@@ -73,7 +73,7 @@ def shards(rows: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataF
             pages = None
             break
         if depth == 2 * HALF:
-            pages = _pages(left.join(open_cells, F.col("address") == F.col("shard"), "left_semi"), limit)
+            pages = cut(_pages(left.join(open_cells, F.col("address") == F.col("shard"), "left_semi"), limit), "pages")
             break
         cell = F.substring("address", 1, depth)
         left = cut(left.join(open_cells, cell == F.col("shard"), "left_semi"), "open")
@@ -82,7 +82,7 @@ def shards(rows: DataFrame, key: str, size: Column, limit: int = LIMIT) -> DataF
     for part in done[1:]:
         directory = directory.union(part)
     directory = cut(directory, "directory")
-    forget(*done, *old)
+    forget(*done, *(df for df in old if df is not narrow))
     # the directory knows few depths; a row is looked up at each of them and found at one
     used = sorted(r[0] for r in directory.select("depth").distinct().collect())
     if not used:

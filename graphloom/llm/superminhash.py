@@ -226,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of_class = cut(labels.select("digest", F.coalesce("component", "id").alias("component_id")), "component")
     forget(classes, met, loose, blocks, wanted, found)
     out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
