@@ -23,6 +23,7 @@ from graphloom.operators import ordering as O
 from graphloom.operators import sampling as S
 from graphloom.plans import partition as G
 from graphloom.plans import prune as R
+from graphloom.scratch import cut
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -477,7 +478,7 @@ def _(spark, d):
 )
 def _(spark, d):
     ids = table(spark, d, "customer").select(F.col("c_nationkey").cast("int").alias("subgraph_id"))
-    return S.sample_subgraphs(ids, 0.5, seed=5)
+    return S.sample_subgraphs(ids, 0.5, seed=5, draw=portable_draw)
 
 
 BATCH_SQL = f"""{NATION_SQL},
@@ -637,15 +638,30 @@ def _(spark, d):
     return G.project_partition(coarse.levels, coarse.rounds, parts, 16)
 
 
-@query("balanced_parts", None)
+@query(
+    "balanced_parts",
+    with_(TRIANGLE_SQL)
+    + """SELECT CAST(COUNT(*) AS BIGINT) AS total_w, TRUE AS each_once, TRUE AS in_range
+    FROM (SELECT src FROM triangles UNION SELECT dst FROM triangles)""",
+)
 def _(spark, d):
     coarse = G.coarsen(triangles(spark, d), k=8, rounds=1, lp_iterations=2)
-    return G.balanced_parts(coarse.edges, coarse.nodes, k=8, sweeps=6)
+    parts = G.balanced_parts(coarse.edges, coarse.nodes, k=8, sweeps=6)
+    given = coarse.nodes.select(F.col("id").alias("coarse_id"))
+    matched = parts.join(given, F.col("id") == F.col("coarse_id"), "full")
+    once = (F.count("id") == F.count("coarse_id")) & (F.count(F.lit(1)) == F.count_distinct("id"))
+    return matched.agg(F.sum("node_w").alias("total_w"), once.alias("each_once"), F.bool_and(F.col("part").between(0, 7)).alias("in_range"))
 
 
-@query("partition_graph", None)
+@query(
+    "partition_graph",
+    with_(TRIANGLE_SQL)
+    + "SELECT src AS id, TRUE AS in_range, TRUE AS within_slack FROM (SELECT src FROM triangles UNION SELECT dst FROM triangles)",
+)
 def _(spark, d):
-    return G.partition_graph(triangles(spark, d), k=8, rounds=2, sweeps=6)
+    parts = cut(G.partition_graph(triangles(spark, d), k=8, rounds=2, sweeps=6, slack=0.05), "parts")
+    fits = parts.groupBy("part").agg((F.count(F.lit(1)) <= G.part_limit(parts.count(), 8, 0.05)).alias("within_slack"))
+    return parts.join(fits, "part").select("id", F.col("part").between(0, 7).alias("in_range"), "within_slack")
 
 
 @query(

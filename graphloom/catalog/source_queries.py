@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 
 from pyspark.sql import functions as F
 
@@ -231,12 +230,6 @@ def _(spark, d):
     return spark.read.csv(path, sep="\t", schema="id BIGINT, part INT")
 
 
-@query("select_recent_files", None)
-def _(spark, d):
-    # sizes of the given tables, newest first, until 100 kB are reached
-    return files.recent_files(spark, f"{d}/*.parquet", 100_000, dt.datetime(2100, 1, 1)).select("path", "length")
-
-
 @query(
     "running_size",
     """WITH sums AS (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS length,

@@ -231,14 +231,19 @@ def attach_scores(ids: DataFrame, scores: DataFrame, key: str = "id") -> DataFra
 # ---- neighbour lists
 
 
-def adjacency_list(edges: DataFrame, chunk: int = 100_000) -> DataFrame:
+def adjacency_list(edges: DataFrame, chunk: int | None = None) -> DataFrame:
     """Neighbours of each source in ascending order, joined by spaces.
 
-    A list longer than ``chunk`` continues in further rows numbered by ``part``, so that a hub
-    never becomes one huge value; nothing is left out.
+    One row a source, with ``part`` 0. With ``chunk``, a list continues after so many neighbours in
+    further rows numbered by ``part``, so that a hub need not be one huge value; nothing is left out.
+    Neighbours whose ids are text are in ascending order inside a part.
     """
-    # equal order keys of one source are neighbours of the same id: a repeated edge is listed twice
-    ranked = rank_rows(edges.select("src", "dst"), key="dst", by=["src"])
+    pairs = edges.select("src", "dst")
+    if chunk is None:
+        ranked, chunk = pairs.withColumn("rank", F.lit(0).cast("long")), 1
+    else:
+        # equal order keys of one source are neighbours of the same id: a repeated edge is listed twice
+        ranked = rank_rows(pairs, key="dst", by=["src"])
     return (
         ranked.groupBy("src", F.floor(F.col("rank") / chunk).alias("part"))
         .agg(F.sort_array(F.collect_list("dst")).alias("_list"))

@@ -155,7 +155,7 @@ def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFr
     neg = F.sum((F.col(label) != 1).cast("bigint"))
     steps = df.groupBy(F.col(score).alias("score")).agg(pos.alias("pos"), neg.alias("neg"))
     placed = prefix_sum(steps, "neg", key="score")
-    won = F.sum(F.col("pos") * F.col("before") + F.col("pos") * F.col("neg") / 2.0)
+    won = F.sum(F.col("pos").cast("double") * (F.col("before").cast("double") + F.col("neg") / 2.0))
     return placed.agg(
         F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"),

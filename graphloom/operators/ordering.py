@@ -109,8 +109,17 @@ def rank_rows(
     hashed: bool = False,
     name: str = "rank",
 ) -> DataFrame:
-    """Add the 0-based position of each row inside its group and the group's size ``total``."""
-    ranked = prefix_sum(df, F.lit(1).cast("long"), key, by=by, ties=ties, hashed=hashed)
+    """Add the 0-based position of each row inside its group and the group's size ``total``.
+
+    Text keys have no numeric order to cut into slots: their rows are in the order of a hash of the
+    key, equal keys next to each other.
+    """
+    one = F.lit(1).cast("long")
+    if df.schema[key].dataType.typeName() in ("string", "varchar", "char"):
+        keyed = df.withColumn("_text_order", hash_key(key))
+        ranked = prefix_sum(keyed, one, "_text_order", by=by, ties=[key, *ties], hashed=True).drop("_text_order")
+    else:
+        ranked = prefix_sum(df, one, key, by=by, ties=ties, hashed=hashed)
     return ranked.withColumnRenamed("before", name)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.draws import hash_draw, portable_draw
+from graphloom.functions.draws import hash_draw
 from graphloom.operators.edges import out_strength
 from graphloom.operators.ordering import hash_key, rank_rows
 from graphloom.scratch import per_key, settled
@@ -45,7 +45,7 @@ def sample_edges(
 
 
 def sample_subgraphs(
-    ids: DataFrame, ratio: float, seed: int = 0, replace: bool = True, key: str = "subgraph_id", draw: Draw = portable_draw
+    ids: DataFrame, ratio: float, seed: int = 0, replace: bool = True, key: str = "subgraph_id", draw: Draw = edge_draw
 ) -> DataFrame:
     """``int(ratio * k)`` subgraph ids: with replacement (column ``draw_no``), or the first by hash."""
     ranked = rank_rows(ids.select(key).distinct(), key=key, name="pos")

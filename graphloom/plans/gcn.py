@@ -5,8 +5,8 @@ sum per node; only the dense product with the weights is numpy, on whatever rows
 backward pass sends gradients along the reversed edges in the same way. One step therefore covers
 any number of subgraphs, of any size, and a subgraph may hold most of all nodes.
 
-A step's loss is the mean over its subgraphs of the masked mean loss. The reference takes one step
-per subgraph in turn; ``groups_per_step=1`` does so here, the default takes all in one step.
+A step's loss is the mean over its subgraphs of the masked mean loss. ``groups_per_step=1``
+takes one step per subgraph in turn, the default takes all in one step.
 """
 
 from __future__ import annotations

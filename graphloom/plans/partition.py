@@ -20,7 +20,7 @@ from graphloom.operators.edges import (
 )
 from graphloom.operators import labels as steps
 from graphloom.operators.labels import SCORE_DIGITS, lp_iteration
-from graphloom.operators.ordering import rank_rows
+from graphloom.operators.ordering import prefix_sum, rank_rows
 from graphloom.operators.sampling import Draw, edge_draw, sample_edges
 from graphloom.scratch import Loop, cut, new_path, per_key, settled
 
@@ -189,7 +189,7 @@ def balanced_parts(
             .unionByName(own)
             .groupBy("id", "part")
             .agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("conn"), F.max("own").alias("own"), F.max("node_w").alias("node_w"))
-            .join(_small(load, k), "part", "left")
+            .join(per_key(load, "load"), "part", "left")
             .withColumn("load", F.coalesce("load", F.lit(0).cast("bigint")))
         )
         score = F.round(F.col("conn") + 1 - F.col("load") / capacity, SCORE_DIGITS).alias("score")
@@ -219,17 +219,12 @@ def balanced_parts(
         if stale >= patience or sweep == sweeps:
             break
         moves = (F.col("wish") != F.col("part")) & (hash_draw("id", seed=seed * 1009 + sweep) < F.col("rate"))
-        state = wishes.join(_small(_admission(wishes, capacity), k * k), ["part", "wish"], "left").select(
+        state = wishes.join(per_key(_admission(wishes, capacity), "admission"), ["part", "wish"], "left").select(
             "id", "node_w", F.when(moves, F.col("wish")).otherwise(F.col("part")).alias("part")
         )
     return best
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table that has at most ``rows`` rows, when that is few; else leave it to Spark."""
-    return F.broadcast(df) if rows <= 100_000 else per_key(df)
-
-
 def _admission(wishes: DataFrame, capacity: Column, damping: float = 0.9) -> DataFrame:
     """Per pair of parts ``(part, wish)`` with movers, the ``rate`` of them that may go.
 
@@ -275,11 +270,54 @@ def partition_graph(
     undirected: bool = False,
     levels_path: str | None = None,
 ) -> DataFrame:
-    """``(id, part)`` for every node. ``undirected=True`` says each edge is given in one direction."""
+    """``(id, part)`` for every node, with at most ``part_limit`` nodes in a part.
+
+    ``undirected=True`` says each edge is given in one direction. The size cap of label propagation
+    counts original nodes, so that coarse nodes stay light enough to be balanced.
+    """
     graph = both_directions(edges.select("src", "dst", "w")) if undirected else edges
-    coarse = coarsen(graph, k, rounds, lp_iterations, nbr_upper, w_ratio, save_ratio, seed, levels_path=levels_path)
+    coarse = coarsen(
+        graph, k, rounds, lp_iterations, nbr_upper, w_ratio, save_ratio, seed, weighted_cap=True, levels_path=levels_path
+    )
     parts = balanced_parts(coarse.edges, coarse.nodes, k, sweeps, slack, seed)
-    return project_partition(coarse.levels, rounds, parts, k, seed)
+    return rebalance(project_partition(coarse.levels, rounds, parts, k, seed), graph, k, slack)
+
+
+def part_limit(n_nodes: int, k: int, slack: float) -> int:
+    """Nodes that a part may have: the mean and the slack, and at least the mean rounded up."""
+    return max(-(-n_nodes // k), int((1 + slack) * n_nodes / k))
+
+
+def rebalance(parts: DataFrame, edges: DataFrame, k: int, slack: float = 0.05) -> DataFrame:
+    """``(id, part)`` with nodes moved out of overfull parts until none is above ``part_limit``.
+
+    The nodes with the least weight inside their part go first, ties by a hash of the id. They take
+    the free places of the other parts, which are numbered part by part, in order.
+    """
+    parts = cut(parts.select("id", "part"), "projected")
+    loads = parts.groupBy("part").agg(F.count(F.lit(1)).alias("load"))
+    limit = part_limit(parts.count(), k, slack)
+    over = cut(loads.filter(F.col("load") > limit).select("part", (F.col("load") - limit).alias("excess")), "overfull")
+    n_moves = over.agg(F.sum("excess")).first()[0]
+    if not n_moves:
+        return parts
+    crowded = parts.join(over, "part")
+    end = {e: parts.select(F.col("id").alias(e), F.col("part").alias(f"_{e}")) for e in ("src", "dst")}
+    inner = edges.select("src", "dst", F.col("w").cast("double").alias("w")).join(end["src"], "src").join(end["dst"], "dst")
+    held = per_key(inner.filter("_src = _dst").groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("held")), "held")
+    order = F.round(F.coalesce("held", F.lit(0.0)), SCORE_DIGITS) + hash_draw("id", seed=2) / 10.0**SCORE_DIGITS
+    ranked = rank_rows(crowded.join(held, "id", "left").withColumn("_order", order), key="_order", by=["part"], ties=["id"])
+    leaving = ranked.filter(F.col("rank") < F.col("excess")).select("id", hash_draw("id", seed=3).alias("_order"))
+    movers = rank_rows(cut(leaving, "movers"), key="_order", ties=["id"]).select("id", F.col("rank").alias("place"))
+    all_parts = parts.sparkSession.range(k).select(F.col("id").cast("int").alias("part"))
+    free = all_parts.join(loads, "part", "left").select("part", (limit - F.coalesce("load", F.lit(0))).alias("free"))
+    # one row a part
+    numbered = prefix_sum(free.filter("free > 0"), "free", key="part")
+    wanted = numbered.filter(F.col("before") < n_moves)
+    last = F.least(F.col("before") + F.col("free"), F.lit(n_moves)) - 1
+    places = wanted.select(F.col("part").alias("_to"), F.explode(F.sequence(F.col("before"), last)).alias("place"))
+    moved = cut(movers.join(places, "place").select("id", "_to"), "moves")
+    return parts.join(moved, "id", "left").select("id", F.coalesce("_to", "part").alias("part"))
 
 
 def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:

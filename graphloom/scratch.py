@@ -8,6 +8,7 @@ from a scan with true sizes, and the plan does not grow with the number of steps
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -53,8 +54,15 @@ def per_key(df: DataFrame, name: str = "per-key") -> DataFrame:
 
 
 def settled(df: DataFrame, name: str = "input") -> DataFrame:
-    """``df`` as a table that a loop can read again and again: cut unless it already is a cut."""
-    return df if getattr(df, "_is_cut", False) else cut(df, name)
+    """``df`` as a table that a loop can read again and again: cut unless it already is a cut or a bare scan."""
+    return df if getattr(df, "_is_cut", False) or is_scan(df) else cut(df, name)
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads columns of files, so that a copy of it would gain nothing."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().strip().split("\n")
+    project = re.fullmatch(r"Project \[([\w#, ]*)\]", plan[0])
+    return len(plan) <= 2 and plan[-1].startswith(("Relation", "+- Relation")) and (len(plan) == 1 or project is not None)
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:

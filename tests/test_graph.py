@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import edges as E
+from graphloom.operators import ordering as O
 from graphloom.operators import labels as L
 from graphloom.operators import sampling as S
 from graphloom.plans import partition as G
@@ -176,7 +177,7 @@ def test_partition_of_planted_blocks(spark, rows, planted):
     assert sorted(got) == list(range(200))
     assert set(got.values()) <= set(range(k))
     loads = [list(got.values()).count(p) for p in range(k)]
-    assert max(loads) <= 1.6 * 200 / k
+    assert max(loads) <= G.part_limit(200, k, 0.05) == 52
     cut = G.edge_cut(edges, parts).first()
     assert cut["cut_w"] < 0.5 * cut["total_w"] * (1 - 1 / k)
 
@@ -212,6 +213,31 @@ def test_symmetrize_takes_the_larger_weight(spark, rows):
     assert rows(E.symmetrize_max(edges)) == [(1, 2, 4.0), (2, 1, 4.0), (2, 3, 2.0), (3, 2, 2.0)]
 
 
+def test_rebalance_moves_the_least_attached(spark, rows):
+    # part 0 has eight nodes in a clique of seven and a loose one, the others have two each
+    pairs = [(a, b) for a in range(7) for b in range(a)] + [(8, 9), (10, 11)]
+    parts = spark.createDataFrame([(i, 0) for i in range(8)] + [(8, 1), (9, 1), (10, 2), (11, 2)], "id long, part int")
+    got = dict(rows(G.rebalance(parts, graph(spark, pairs), 3, slack=0.0), "id", "part"))
+    loads = [list(got.values()).count(p) for p in range(3)]
+    assert sorted(got) == list(range(12)) and loads == [4, 4, 4] and got[7] != 0
+    assert all(got[i] == p for i, p in ((8, 1), (9, 1), (10, 2), (11, 2)))
+    assert rows(G.rebalance(parts, graph(spark, pairs), 3, slack=1.0), "id", "part") == rows(parts, "id", "part")
+
+
+def test_text_ids_are_ranked(spark, rows):
+    df = spark.createDataFrame([("a", f"x\t{i}") for i in range(30)] + [("b", "x\t1"), ("b", "x\t1")], "g string, id string")
+    got = rows(O.rank_rows(df, key="id", by=["g"]), "g", "rank", "total")
+    assert got == sorted([("a", i, 30) for i in range(30)] + [("b", 0, 2), ("b", 1, 2)])
+    edges = spark.createDataFrame([("x\t1", "x\t2"), ("x\t1", "x\t10")], "src string, dst string")
+    assert rows(E.adjacency_list(edges)) == [("x\t1", 0, "x\t10 x\t2")]
+    assert len(rows(E.adjacency_list(edges, chunk=1))) == 2
+
+
+def test_neighbour_lists_have_no_default_cut(spark, rows):
+    edges = graph(spark, [(0, i) for i in range(1, 300)], both=False)
+    assert rows(E.adjacency_list(edges)) == [(0, 0, " ".join(map(str, range(1, 300))))]
+
+
 def test_long_neighbour_lists_continue_in_parts(spark, rows):
     edges = graph(spark, [(0, i) for i in range(1, 26)], both=False)
     got = rows(E.adjacency_list(edges, chunk=10))
