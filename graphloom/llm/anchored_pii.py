@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from graphloom.llm.tables import fresh
+from graphloom.llm.tables import fresh, in_arrow, small_batches
 from graphloom.llm.words import worker_state
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -146,7 +146,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     kind_of_id = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind_of_id}," + ",".join(f"{c} long" for c in counts) + ",base_sha256 string,spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def redact(text: str) -> str:
@@ -168,6 +168,7 @@ def _redacted(texts: pa.Array) -> pa.Array:
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with redacted texts; n_chars, where there is one, is counted anew. Null texts stay null."""
     name = fresh(docs)
+    small_batches(docs.sparkSession)
     done = docs.withColumn(name, _redacted.asNondeterministic()("text"))
     length = F.length(name).cast(dict(docs.dtypes).get("n_chars", "long"))
     return done.select(*[F.col(name).alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

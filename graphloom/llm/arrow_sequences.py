@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.merge_dropout import spread
-from graphloom.llm.tables import cut, partitions, utf8
+from graphloom.llm.tables import cut, in_arrow, partitions, utf8
 from graphloom.llm.words import WordHasher, slices, worker_state
 from graphloom.scratch import new_path
 
@@ -203,7 +203,7 @@ def write_sequences(docs: DataFrame, folder: str, file: str | None = None, lengt
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
     placed = picked.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    return cut(placed.mapInArrow(run, "shard int, n_docs long, n_tokens long"), "shards")
+    return cut(in_arrow(placed, run, "shard int, n_docs long, n_tokens long"), "shards")
 
 
 def read_sequences(shards: DataFrame, folder: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.groups import runs_of_rows
-from graphloom.llm.tables import cut, partitions, utf8
+from graphloom.llm.tables import cut, in_arrow, partitions, utf8
 from graphloom.llm.words import U64, WordHasher, checksum, mix, slices
 
 ORDER = 2
@@ -261,7 +261,7 @@ def log_probabilities(docs: DataFrame, order: int = ORDER, mass: float = MASS, b
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // PART_BYTES))
-    asked = picked.mapInArrow(_ask(order, block_tokens, parts), ASKED)
+    asked = in_arrow(picked, _ask(order, block_tokens, parts), ASKED)
     answers = cut(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, ANSWERED), "ngrams")
     n_tokens, n_words = answers.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     texts = picked.mapInArrow(_texts(block_tokens), TEXTS)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tables import cut, forget
+from graphloom.llm.tables import cut, forget, in_arrow
 
 
 class UnionFind:
@@ -46,7 +46,7 @@ def local_forest(links: DataFrame, most: int = 500_000) -> DataFrame:
                 a, b = zip(*kept)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return in_arrow(links.select("a", "b"), run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from graphloom.llm.tables import fresh, utf8
+from graphloom.llm.tables import fresh, in_arrow, utf8
 from graphloom.llm.words import U64, WordHasher, mix, slices, worker_state
 
 RATE, SEED, VARIANTS = 0.1, 20, 4
@@ -295,7 +295,7 @@ def encode(docs: DataFrame, file: str | None = None, rate: float = RATE, seed: i
                 )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
+    return in_arrow(picked, run, "doc_id long, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, file: str | None = None, column: str = "ids") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.rule_ledger import MEASURES, measure_texts
-from graphloom.llm.tables import cut, forget, utf8
+from graphloom.llm.tables import cut, forget, in_arrow, utf8
 from graphloom.llm.words import U64, WordHasher, mix, slices
 
 SAMPLE = 50_000
@@ -115,7 +115,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 first = pa.array(np.arange(len(stats) + 1) * len(STATISTICS), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.ListArray.from_arrays(first, pa.array(stats.reshape(-1)))], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).mapInArrow(run, "doc_id long, stats array<double>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()), run, "doc_id long, stats array<double>")
 
 
 def held_out(doc_id: Column) -> Column:

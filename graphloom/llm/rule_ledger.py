@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from graphloom.llm.tables import fresh, utf8
+from graphloom.llm.tables import fresh, small_batches, utf8
 from graphloom.llm.words import U64, WordHasher, mix, slices, windows
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper", "n_bangs")
@@ -132,6 +132,7 @@ def passes(bits: Column, policy: Policy) -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, the measures, failed_bits) of each row of ``docs(doc_id, text)``; other columns are not read."""
+    small_batches(docs.sparkSession)
     measured = docs.select("doc_id", _measure.asNondeterministic()(utf8()).alias("m"))
     flat = measured.select("doc_id", *[F.col(f"m.{m}") for m in MEASURES])
     return flat.withColumn("failed_bits", failed_bits(F.col))
@@ -162,5 +163,6 @@ def ablation(entries: DataFrame, policies: list[Policy]) -> DataFrame:
 def keep_passing(docs: DataFrame, policy: Policy = PROSE) -> DataFrame:
     """The rows of ``docs`` that pass the policy, with the columns they came with."""
     name = fresh(docs)
+    small_batches(docs.sparkSession)
     measured = docs.withColumn(name, _measure.asNondeterministic()(utf8()))
     return measured.where(passes(failed_bits(lambda m: F.col(f"{name}.{m}")), policy)).drop(name)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import UnionFind, components
 from graphloom.llm.groups import runs_of_rows
-from graphloom.llm.tables import cut, forget, fresh, partitions, small, utf8
+from graphloom.llm.tables import cut, forget, fresh, in_arrow, partitions, small, utf8
 from graphloom.llm.words import U64, WordHasher, checksum, mix, slices, windows
 
 WORDS = 5
@@ -36,7 +36,7 @@ BROADCAST_ROWS = 1_000_000
 FRACTION = 25  # bits of a signature value below the level
 
 
-def signatures(elements: np.ndarray, first: np.ndarray, places: int = PLACES, block: int = 100_000) -> np.ndarray:
+def signatures(elements: np.ndarray, first: np.ndarray, places: int = PLACES, block: int = 50_000) -> np.ndarray:
     """SuperMinHash signatures of the sets ``elements[first[i]:first[i + 1]]``, of at most 128 places; empty sets have all ones."""
     n = len(first) - 1
     out = np.full((n, places), np.iinfo(np.uint32).max, np.uint32)
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, code binary")
+    return in_arrow(picked, run, "doc_id long, n_shingles long, digest binary, bands array<long>, code binary")
 
 
 def _in_blocks(df: DataFrame, group: str, blocks: str) -> DataFrame:
@@ -208,9 +208,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = cut(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = buckets.join(met, "bucket").withColumn("blocks", F.ceil(F.col("n") / MEMBERS)).drop("n")
     coded = _in_blocks(members.join(one.select("doc_id", "code"), "doc_id"), "bucket", "blocks")
-    near = _tasks(coded.select("bucket", "lo", "hi", "own", "doc_id", "code"), ["bucket", "lo", "hi"]).mapInArrow(
-        _similar_codes(percent / 100 - MARGIN), "a long, b long"
-    )
+    met_codes = _tasks(coded.select("bucket", "lo", "hi", "own", "doc_id", "code"), ["bucket", "lo", "hi"])
+    near = in_arrow(met_codes, _similar_codes(percent / 100 - MARGIN), "a long, b long")
     loose = components(near)
 
     # full sets of those, in blocks
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     wanted = cut(grouped.join(blocks, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("loose"), "blocks"), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8()).join(small(wanted, BROADCAST_ROWS), "doc_id")
     placed = _in_blocks(texts, "loose", "blocks").select("loose", "lo", "hi", "own", "doc_id", "text")
-    links = _tasks(placed, ["loose", "lo", "hi"]).mapInArrow(_linked_sets(percent), "a long, b long")
+    links = in_arrow(_tasks(placed, ["loose", "lo", "hi"]), _linked_sets(percent), "a long, b long")
     found = components(links)
 
     labels = one.select("digest", F.col("doc_id").alias("id")).join(found, "id", "left")

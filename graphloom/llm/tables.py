@@ -37,6 +37,25 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches that suit whole texts."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows, unless the session has another number than Spark's 10,000.
+
+    A row here is a whole text, and a batch is held several times by the executor and its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tables import cut, fresh, small, utf8
+from graphloom.llm.tables import cut, fresh, in_arrow, small, utf8
 from graphloom.llm.words import U64, WordHasher, mix, slices, worker_state
 
 WINDOW = 8
 COVER_PERCENT = 50
 SENT = 2_000_000  # hashes of the items' windows, 16 MB
 BROADCAST_ROWS = 200_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 LITERAL, NUMBER, NAME, UNIT = range(4)
 #: fixed values: units as they follow a number
@@ -156,7 +156,7 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, w
                         ["id", "pos", "size", "words", "window", "slots"],
                     )
 
-    return rows.select(F.col(id_column).cast("long").alias("id"), utf8()).mapInArrow(run, SCHEMA)
+    return in_arrow(rows.select(F.col(id_column).cast("long").alias("id"), utf8()), run, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover_percent: int = COVER_PERCENT, sent: int = SENT) -> DataFrame:

@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    def __init__(self, piece: int = 1 << 20):
+    def __init__(self, piece: int = 1 << 18):
         self.piece = piece
         self.power = np.full(piece + 1, U64(BASE))
         self.inverse = np.full(piece + 1, U64(pow(BASE, -1, 1 << 64)))
