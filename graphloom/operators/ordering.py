@@ -14,7 +14,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.scratch import cut
+from graphloom.scratch import cut, settled
+
+HOT_ROWS = 200_000  # rows of a group that one task sorts
 
 
 def slot_count(df: DataFrame) -> int:
@@ -69,12 +71,46 @@ def prefix_sum(
     Rows are ordered by ``key``, then ``ties``. Keys should be (nearly) distinct inside a group:
     count equal keys first. ``hashed`` says that ``key`` is a ``hash_key``; ``slots`` is then the
     number of slots of the row's group.
+
+    Groups are counted first. Only those of more than ``HOT_ROWS`` rows are split into slots, the
+    others are sorted as they are, by one shuffle.
     """
     by = list(by)
+    if hashed:
+        return _slotted_sum(with_hash_slot(df, key, slots), value, key, by, ties)
+    df = settled(df, "ordered")  # read several times below
+    if not by:
+        return _slotted_sum(with_value_slot(df, key), value, key, by, ties)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = cut(sizes.filter(F.col("_rows") > HOT_ROWS).drop("_rows"), "hot-groups")
+    if hot.isEmpty():
+        return _plain_sum(df, value, key, by, ties)
+    same = _same_group(df, hot, by)
+    some = _slotted_sum(with_value_slot(df.join(hot, same, "left_semi"), key), value, key, by, ties)
+    rest = _plain_sum(df.join(hot, same, "left_anti"), value, key, by, ties)
+    return rest.unionByName(some)
+
+
+def _same_group(df: DataFrame, other: DataFrame, by: Sequence[str]) -> Column:
+    on = df[by[0]].eqNullSafe(other[by[0]])
+    for c in by[1:]:
+        on = on & df[c].eqNullSafe(other[c])
+    return on
+
+
+def _plain_sum(df: DataFrame, value: str | Column, key: str, by: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """``prefix_sum`` of groups that fit a task."""
+    group = Window.partitionBy(*by)
+    summed = df.withColumn("_value", F.col(value) if isinstance(value, str) else value)
+    earlier = group.orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_value").over(earlier), F.expr("0"))
+    return summed.withColumn("total", F.sum("_value").over(group)).withColumn("before", before).drop("_value")
+
+
+def _slotted_sum(slotted: DataFrame, value: str | Column, key: str, by: Sequence[str], ties: Sequence[str]) -> DataFrame:
+    """``prefix_sum`` by the totals of the slots before, and a window inside the slot."""
     groups = by or [F.lit(0)]
-    slotted = with_hash_slot(df, key, slots) if hashed else with_value_slot(df, key)
     slotted = slotted.withColumn("_value", F.col(value) if isinstance(value, str) else value)
-
     by_slot = Window.partitionBy(*groups).orderBy("_slot")
     offsets = (
         slotted.groupBy(*by, "_slot")

@@ -9,6 +9,12 @@ from graphloom.operators import metrics as M
 from graphloom.operators import ordering as O
 
 
+@pytest.fixture(params=[100, 200_000])
+def hot_rows(request, monkeypatch):
+    """With and without groups that are split into slots."""
+    monkeypatch.setattr(O, "HOT_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(1)
@@ -19,7 +25,7 @@ def skewed(spark):
     return spark.createDataFrame(data, "g string, id long, v double"), data
 
 
-def test_rank_rows(skewed, rows):
+def test_rank_rows(skewed, rows, hot_rows):
     df, data = skewed
     got = {i: r for i, r in rows(O.rank_rows(df, key="id", by=["g"]), "id", "rank")}
     seen = {}
@@ -39,7 +45,7 @@ def test_hashed_ranks_are_a_permutation(skewed, rows):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.9, 0.95])
-def test_order_statistics(skewed, rows, q):
+def test_order_statistics(skewed, rows, hot_rows, q):
     df, data = skewed
     groups = {}
     for g, _, v in data:
