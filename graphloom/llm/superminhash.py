@@ -236,9 +236,8 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     name = fresh(docs)
     groups = cut(near_duplicates(docs, percent), "groups")
-    kept = groups.where("kept and doc_id is not null")
-    ids = kept.select(F.col("doc_id").alias(name)).distinct()
-    out = docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out.union(docs.where("doc_id is null"))
-    return out.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    ids = small(groups.where("not kept").select(F.col("doc_id").alias(name)).distinct(), BROADCAST_ROWS)
+    out = docs.join(ids, docs["doc_id"].cast("long") == ids[name], "left_anti")
+    if groups.where("kept").groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
