@@ -591,12 +591,12 @@ def _(spark, d):
 @query(
     "apply_augmentation",
     with_(TRADE_SQL)
-    + "SELECT src, dst, w FROM trade WHERE w > 20 UNION ALL SELECT dst, src, CAST(1 AS BIGINT) FROM trade WHERE w > 40",
+    + "SELECT src, dst, w FROM trade UNION ALL SELECT dst, src, CAST(1 AS BIGINT) FROM trade",
 )
 def _(spark, d):
     edges = trade(spark, d)
-    added = E.reverse_edges(edges.filter("w > 40")).withColumn("w", F.lit(1).cast("bigint"))
-    return E.apply_augmentation(edges.filter("w > 20"), added)
+    added = E.reverse_edges(edges).withColumn("w", F.lit(1).cast("bigint"))
+    return E.apply_augmentation(edges, added)
 
 
 @query(
@@ -616,11 +616,11 @@ def _(spark, d):
     "merge_graphs",
     with_(NATION_SQL)
     + """SELECT source, subgraph_id, COUNT(*) AS n_edges, CAST(SUM(w) AS BIGINT) AS w FROM (
-      SELECT 'one' AS source, subgraph_id, w FROM nation_edges UNION ALL SELECT 'two', subgraph_id, w FROM nation_edges WHERE w > 10) GROUP BY 1, 2""",
+      SELECT 'one' AS source, subgraph_id, w FROM nation_edges UNION ALL SELECT 'two', subgraph_id, 2 * w FROM nation_edges) GROUP BY 1, 2""",
 )
 def _(spark, d):
     edges = nation_edges(spark, d)
-    merged = E.merge_graphs({"one": edges, "two": edges.filter("w > 10")})
+    merged = E.merge_graphs({"one": edges, "two": E.reverse_edges(edges).withColumn("w", 2 * F.col("w"))})
     return merged.groupBy("source", "subgraph_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("w").alias("w"))
 
 

@@ -180,9 +180,8 @@ def _(spark, d):
 @query(
     "write_merged_embeddings",
     with_(VECTOR_SQL)
-    + """SELECT '20210103' AS dt, CAST(id AS VARCHAR) AS id, ROUND(CAST(vec[1] AS DOUBLE), 5) AS v1, ROUND(CAST(vec[64] AS DOUBLE), 5) AS v64
-    FROM vectors UNION ALL
-    SELECT '20210103', CAST(id + 1000000 AS VARCHAR), ROUND(CAST(vec[1] AS DOUBLE), 5), ROUND(CAST(vec[64] AS DOUBLE), 5) FROM vectors""",
+    + """SELECT '20210103' AS dt, CAST(id + shift AS VARCHAR) AS id, CAST(i - 1 AS INTEGER) AS idx, ROUND(CAST(vec[i] AS DOUBLE), 5) AS x
+    FROM vectors, (SELECT unnest([0, 1000000]) AS shift), range(1, 65) r(i)""",
 )
 def _(spark, d):
     path = new_path(spark, "merged")
@@ -190,19 +189,20 @@ def _(spark, d):
     writers.write_merged_embeddings({"a": one, "b": one.withColumn("id", F.col("id") + 1000000)}, "20210103", path)
     schema = "dt STRING, id STRING, " + ", ".join(f"v{i} FLOAT" for i in range(1, 65))
     back = spark.read.csv(path, sep=readers.SOH, schema=schema)
-    return back.select("dt", "id", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("v1", "v64")])
+    back = back.select("dt", "id", F.array(*[F.col(f"v{i}") for i in range(1, 65)]).alias("vec"))
+    return long_form(back, ["dt", "id"], "vec", digits=5)
 
 
 @query(
     "merge_embeddings",
     with_(VECTOR_SQL)
-    + """SELECT 'a' AS source, '20210103' AS dt, CAST(id AS VARCHAR) AS id, CAST(LEN(vec) AS INTEGER) AS dim FROM vectors
-    UNION ALL SELECT 'b', '20210103', CAST(id AS VARCHAR), CAST(LEN(vec) AS INTEGER) FROM vectors WHERE subgraph_id < 5""",
+    + """SELECT source, '20210103' AS dt, CAST(id AS VARCHAR) AS id, CAST(i - 1 AS INTEGER) AS idx, ROUND(CAST(vec[i] AS DOUBLE), 6) AS x
+    FROM (SELECT 'a' AS source, id, vec FROM vectors UNION ALL SELECT 'b', id, list_reverse(vec) FROM vectors), range(1, 65) r(i)""",
 )
 def _(spark, d):
     one = vectors(spark, d)
-    merged = writers.merge_embeddings({"a": one, "b": one.filter("subgraph_id < 5")}, "20210103", keep_source=True)
-    return merged.select("source", "dt", "id", F.size("vec").alias("dim"))
+    merged = writers.merge_embeddings({"a": one, "b": one.withColumn("vec", F.reverse("vec"))}, "20210103", keep_source=True)
+    return long_form(merged, ["source", "dt", "id"], "vec")
 
 
 @query(
