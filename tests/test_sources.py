@@ -132,3 +132,12 @@ def test_score_rows_with_date(spark, tmp_path):
     scores = spark.createDataFrame([("20210103", "o1", "r1", -0.5)], "dt string, account string, role string, p double")
     writers.write_scores(scores, str(tmp_path / "s"), ("dt", "account", "role", "p"), "\x01")
     assert spark.read.text(str(tmp_path / "s")).first()[0] == "20210103\x01o1\x01r1\x01-0.5"
+
+
+def test_bare_scans_are_not_copied(spark):
+    from graphloom.scratch import is_scan, settled
+
+    nation = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    assert is_scan(nation) and is_scan(nation.select("n_name", "n_nationkey")) and settled(nation) is nation
+    assert not is_scan(nation.filter("n_nationkey > 3")) and not is_scan(nation.select((nation.n_nationkey + 1).alias("x")))
+    assert not is_scan(nation.groupBy("n_name").count()) and not is_scan(nation.limit(3))
