@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.components import UnionFind, components
 from graphloom.llm.groups import runs_of_rows
 from graphloom.llm.tables import cut, forget, fresh, in_arrow, partitions, small, utf8
-from graphloom.llm.words import U64, WordHasher, checksum, mix, slices, windows
+from graphloom.llm.words import U64, WordHasher, checksum, mix, slices, windows, worker_state
 
 WORDS = 5
 PLACES, ROWS = 128, 4  # 32 bands: a pair of similarity 0.85 misses all of them with probability 5e-11
@@ -89,6 +89,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, digest, bands, code) of every document; digest null for an empty set. One byte of each value is in code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near-duplicates")
         hasher = WordHasher()
         for batch in batches:
             ids = batch["doc_id"]
@@ -156,6 +157,7 @@ def _linked_sets(percent: int):
     """Forests of members of loose blocks whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near-duplicates")
         hasher = WordHasher()
         for part in runs_of_rows(batches, ["loose", "lo", "hi"]):
             ids = part["doc_id"].to_numpy().astype(np.int64)

@@ -8,6 +8,7 @@ probability near n**2 / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -127,9 +128,20 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int, short: bool) -> tuple
 
 
 def worker_state(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so later tasks of the worker find it filled."""
+    """A dict that lives as long as the Python worker, so later tasks of the worker find it filled.
+
+    A worker keeps the state of one operator at a time; that of the one before is dropped and its memory given back.
+    """
     module = sys.modules.setdefault("graphloom_worker_state", types.ModuleType("graphloom_worker_state"))
-    return module.__dict__.setdefault(name, {})
+    states = module.__dict__.setdefault("states", {})
+    if name not in states:
+        states.clear()
+        states[name] = {}
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library gives it back by itself
+    return states[name]
 
 
 def checksum(numbers: np.ndarray) -> bytes:
