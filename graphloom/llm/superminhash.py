@@ -168,6 +168,10 @@ def _linked_sets(percent: int):
             sets = []
             for _, _, texts in slices(part["text"].combine_chunks()):
                 sets += _shingle_sets(hasher, texts)
+            there = np.fromiter(map(len, sets), np.int64, len(sets)) > 0  # rows of a repeated doc_id may have no words
+            ids, own, sets = ids[there], own[there], [s for s in sets if len(s)]
+            if len(ids) < 2:
+                continue
             first = np.cumsum([0, *map(len, sets)])
             size = np.diff(first)
             _, number = np.unique(np.concatenate(sets), return_inverse=True)

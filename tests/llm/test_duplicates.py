@@ -93,6 +93,19 @@ def test_odd_rows(odd_docs, odd_rows):
     assert {r.doc_id: r.n_shingles for r in got if r.doc_id} == {i: len(shingles(t)) for i, t in odd_rows if i}
 
 
+@pytest.mark.parametrize("empty", [None, "", " \n"])
+def test_one_doc_id_with_a_text_and_without(spark, empty):
+    rng = random.Random(8)
+    words = prose(rng, 100).split()
+    other = " ".join(words[:-1])
+    # the rows without words are the last of their block, the only ones of a document, and of both documents
+    rows = [(3, other), (9, " ".join(words)), (9, empty), (3, empty), (9, empty), (5, empty), (7, prose(rng, 90)), (7, empty)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in near_duplicates(docs, 85).collect()}
+    assert {(9, True, 3), (3, True, 3), (5, False, 5), (7, True, 7)} <= got and len(got) == 7
+    assert sorted({r.doc_id for r in without_near_duplicates(docs, 85).collect()}) == [3, 5, 7]
+
+
 def test_one_row_of_each_group_stays(odd_docs, no_docs):
     left = without_near_duplicates(odd_docs)
     assert left.columns == odd_docs.columns
