@@ -3,11 +3,12 @@
 The vocabulary and scores are those of a SentencePiece BPE model with byte pieces. A text is cut into units, a run of
 blanks with what follows it or a line feed, across which no piece of such a model reaches. In a unit, the candidate merges
 of neighbours wait in an agenda, best score first, then leftmost. Each candidate that comes up is skipped for good
-if a hash keyed with seed, document variant, unit, place and piece falls below the dropout rate. So one seed gives
-one result, another seed or variant another segmentation, rate 0 that of the library; all of them decode to the same text.
+if a hash keyed with seed, document, the unit's place in the text, unit, place and piece falls below the dropout rate. So one
+seed gives one result, another seed, document or occurrence another segmentation, rate 0 that of the library; all of them
+decode to the same text.
 
-Each document has one of ``variants`` variants, by its doc_id, so equal units of a variant are segmented once in a
-slice of the input. A character without a piece, and the character that stands for a blank inside pieces, become byte pieces, which
+Equal units are merged without dropout once in a slice of the input. An occurrence whose draws skip none of those merges
+has their result; only the others are segmented each by itself. A character without a piece, and the character that stands for a blank inside pieces, become byte pieces, which
 keeps decoding lossless. An empty or null text has no ids; ids of a null text decode to the empty text.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql.types import StringType
 from graphloom.llm.tables import fresh, in_arrow, utf8
 from graphloom.llm.words import U64, WordHasher, mix, slices, worker_state
 
-RATE, SEED, VARIANTS = 0.1, 20, 4
+RATE, SEED = 0.1, 20
 BLANK = "▁"
 NONE = np.iinfo(np.int32).max  # rank of a pair that is no candidate
 UNIT_CHARS = 64  # longer units are segmented one by one
@@ -87,10 +88,11 @@ class Model:
         there = self.pair[at] == key
         return np.where(there, self.pair_rank[at], NONE), np.where(there, self.pair_piece[at], 0)
 
-    def merge(self, symbols: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, symbols: np.ndarray, keys: np.ndarray, rate: float, path: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of units of one length after all merges, unit by unit, and how many each unit has.
 
         ``symbols`` has a row for each unit, ``keys`` the units' 64-bit numbers. All units take the first of their agendas at once.
+        Rows, places and pieces of the merges are added to ``path``.
         """
         n, length = symbols.shape
         below = U64(int(rate * (1 << 24)))
@@ -113,9 +115,10 @@ class Model:
             into = piece[rows, at]
             rank[rows, at] = NONE
             if below:
-                draw = mix(keys[unit[rows]] + at.astype(U64) * U64(0x9E3779B97F4A7C15) + into.astype(U64) * U64(0xD6E8FEB86659FD93))
-                merged = draw >> U64(40) >= below
+                merged = ~skipped(keys[unit[rows]], at, into, rate)
                 rows, at, into = rows[merged], at[merged], into[merged]
+            if path is not None:
+                path.append((unit[rows], at, into))
             right = following[rows, at]
             symbols[rows, at] = into
             final[unit[rows], at] = into
@@ -181,6 +184,12 @@ class Model:
         return out, np.diff(begin[edges])
 
 
+def skipped(keys: np.ndarray, at: np.ndarray, into: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the merges at the given places into the given pieces are left out in the units of these keys."""
+    draw = mix(keys + at.astype(U64) * U64(0x9E3779B97F4A7C15) + into.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return draw >> U64(40) < U64(int(rate * (1 << 24)))
+
+
 def model(file: str) -> Model:
     """The model, read once by a worker."""
     state = worker_state("sentencepiece models")
@@ -190,13 +199,16 @@ def model(file: str) -> Model:
 
 
 class Encoder:
-    def __init__(self, file: str, rate: float, seed: int, variants: int):
+    """``variants`` confines the documents to so many keys; None: each document has its own."""
+
+    def __init__(self, file: str, rate: float, seed: int, variants: int | None = None):
         self.model, self.rate, self.variants = model(file), rate, variants
         self.seed = mix(np.array([seed], U64))[0]
         self.hasher = WordHasher()
 
     def variant_of(self, ids: np.ndarray) -> np.ndarray:
-        return mix(mix(ids.astype(np.int64).view(U64)) + self.seed) % U64(self.variants)
+        own = mix(mix(ids.astype(np.int64).view(U64)) + self.seed)
+        return own % U64(self.variants) if self.variants else own
 
     def __call__(self, texts: list[bytes | None], variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
@@ -213,30 +225,56 @@ class Encoder:
         edges = np.flatnonzero(begins)
         starts, ends = edges[:-1], edges[1:]
         first = np.searchsorted(starts, text_first)
+        numbers = self.hasher.numbers(codes, starts, ends)
         units = np.diff(first)
-        own = np.repeat(variant, units)
-        keys = mix(self.hasher.numbers(codes, starts, ends) + (own + U64(1)) * U64(0x9E3779B97F4A7C15)) + self.seed
-        _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        pool, size = self._units(buf, codes, starts[index], ends[index], keys[index])
-        ids, begin = spread(pool, size, inverse)
-        return ids, begin[first]
+        place = (np.arange(len(starts)) - np.repeat(first[:-1], units)).astype(U64)
+        own = np.repeat(mix(variant + U64(1)), units)
+        keys = mix(numbers + mix(own + place * U64(0x9E3779B97F4A7C15))) + self.seed
 
-    def _units(self, buf: bytes, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given units, one after another, and how many each has."""
         symbols = self.model.symbol[np.frombuffer(buf.decode().encode("utf-32-le"), np.uint32)]
         character = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])
         starts, length = character[starts], character[ends] - character[starts]
+        _, index, inverse = np.unique(numbers, return_index=True, return_inverse=True)
+        path = []
+        pool, size = self._units(symbols, starts[index], length[index], keys[index], 0.0, path)
+        if self.rate:
+            own = np.flatnonzero(self._differ(path, len(index), inverse, keys) | (length > UNIT_CHARS))
+            more, more_size = self._units(symbols, starts[own], length[own], keys[own], self.rate)
+            inverse[own] = len(size) + np.arange(len(own))
+            pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
+        ids, begin = spread(pool, size, inverse)
+        return ids, begin[first]
+
+    def _differ(self, path: list, n: int, inverse: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether the draws of an occurrence skip one of the merges of its unit, of which there are ``n``."""
+        unit, at, into = (np.concatenate(x) for x in zip(*path)) if path else np.zeros((3, 0), np.int64)
+        order = np.argsort(unit, kind="stable")
+        steps = np.bincount(unit, minlength=n)
+        step, _ = spread(order, steps, inverse)
+        owner = np.repeat(np.arange(len(inverse)), steps[inverse])
+        out = np.zeros(len(inverse), bool)
+        out[owner[skipped(keys[owner], at[step], into[step], self.rate)]] = True
+        return out
+
+    def _units(
+        self, symbols: np.ndarray, starts: np.ndarray, length: np.ndarray, keys: np.ndarray, rate: float, path: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given units, one after another, and how many each has. Merges of units of up to 64 symbols are added to ``path``."""
         order = np.argsort(length, kind="stable")
+        ordered = length[order]
         parts, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
         while at < len(order):
-            n = int(length[order[at]])
-            to = int(np.searchsorted(length[order], n, "right")) if n <= UNIT_CHARS else at + 1
+            n = int(ordered[at])
+            to = int(np.searchsorted(ordered, n, "right")) if n <= UNIT_CHARS else at + 1
             rows = order[at:to]
             if n <= UNIT_CHARS:
-                part, count = self.model.merge(symbols[starts[rows][:, None] + np.arange(n)], keys[rows], self.rate)
+                steps = [] if path is not None else None
+                part, count = self.model.merge(symbols[starts[rows][:, None] + np.arange(n)], keys[rows], rate, steps)
+                if path is not None:
+                    path += [(rows[unit], place, into) for unit, place, into in steps]
             else:
                 begin = int(starts[rows[0]])
-                one = self.model.segment(symbols[begin : begin + n].tolist(), int(keys[rows[0]]), self.rate)
+                one = self.model.segment(symbols[begin : begin + n].tolist(), int(keys[rows[0]]), rate)
                 part, count = np.array(one, np.int32), np.array([len(one)])
             parts.append(part)
             counts.append(count)
@@ -269,10 +307,10 @@ class Decoder:
         return [data[a + 1 : b] for a, b in zip(edges[:-1], edges[1:])]
 
 
-def encode(docs: DataFrame, file: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, file: str | None = None, rate: float = RATE, seed: int = SEED, variants: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, lossless) of each row of ``docs(doc_id, text)``; other columns are not read.
 
-    ``lossless`` tells whether the ids decode to the text. A row without a doc_id has the variant of doc_id 0.
+    ``lossless`` tells whether the ids decode to the text. A row without a doc_id has the draws of doc_id 0.
     """
     file = file or default_model()
 

@@ -54,6 +54,29 @@ def test_both_agendas_agree(documents, rate):
         assert merged.tolist() == pieces.segment(symbols.tolist(), key, rate) and count[0] == len(merged)
 
 
+def test_occurrences_and_documents_have_their_own_segmentation(spark):
+    word = "internationalization"
+    docs = spark.createDataFrame([(i, f"{word} {word} {word}") for i in range(100)], "doc_id long, text string")
+    output = model(default_model()).output
+    seen = set()
+    for r in encode(docs).collect():
+        cuts = []
+        for piece in (output[i].decode() for i in r.ids):
+            if piece.startswith(" "):
+                cuts.append([])
+            cuts[-1].append(piece)
+        seen |= {tuple(map(str.strip, c)) for c in cuts}
+        assert len(cuts) == 3 and r.lossless
+    assert len(seen) > 4
+
+
+def test_shared_merges_change_nothing(documents, monkeypatch):
+    texts = documents[:40] + TEXTS
+    shared = segment(0.1, texts)
+    monkeypatch.setattr(Encoder, "_differ", lambda self, path, n, inverse, keys: np.ones(len(inverse), bool))
+    assert shared == segment(0.1, texts)
+
+
 def test_encode_and_decode_tables(odd_docs, odd_rows, no_docs):
     coded = encode(odd_docs)
     rows = coded.collect()
