@@ -2,9 +2,10 @@
 
 Every word becomes a literal or a typed placeholder: numbers, units after a number, and capitalised words inside a
 sentence. Runs of eight such tokens, the template windows, are hashed and joined between documents and items. Windows
-that meet on one diagonal (document position less item position) are aligned; the values in their slots must
-correspond one to one, as they do when a question was given other parameters, and do not when two texts only share
-a frame. An item is found in a document when the consistent windows cover at least half of the item's words.
+that meet on one diagonal (document position less item position) are aligned. There, each name of the item is bound to the
+name that stands for it at most places, itself if there are as many; windows with another name for it are left out, the
+others count. Numbers and units are parameters of their own, which may coincide or differ. An item is found in a document
+when the windows that count cover at least half of the item's words.
 
 Windows with fewer literals than half their length say too little and are left out on both sides; an item of fewer than
 eight words has one window, itself. Windows of documents go to the join only if the items have the same hash; for that
@@ -14,6 +15,7 @@ the items' hashes are sent to the tasks when there are at most ``SENT`` of them,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +116,9 @@ SCHEMA = "id long, pos int, size int, words int, window long, slots array<string
 
 
 def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
-    """The template windows of each text: its id, first word, size, the text's number of words, hash and slot values.
+    """The template windows of each text: its id, first word, size, the text's number of words, hash and slots.
+
+    A slot is its place in the window, its kind and its value.
 
     ``sizes`` are the window sizes, None for the one of an item: eight or its own length. ``wanted`` are sorted hashes
     to which the windows are confined.
@@ -143,7 +147,7 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, w
                     if not len(at):
                         continue
                     owner = text_of[at]
-                    slots = [[form(i) for i in range(a, a + k) if kinds[i] != LITERAL] if kinds[a : a + k].any() else [] for a in at.tolist()]
+                    slots = [[f"{i - a}{kinds[i]}{form(i)}" for i in range(a, a + k) if kinds[i] != LITERAL] if kinds[a : a + k].any() else [] for a in at.tolist()]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([ids[lo + i] for i in owner.tolist()], pa.int64()),
@@ -159,6 +163,28 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, w
     return in_arrow(rows.select(F.col(id_column).cast("long").alias("id"), utf8()), run, SCHEMA)
 
 
+def bound(windows: list[dict]) -> tuple[list[int], int]:
+    """Item places that the windows of a diagonal cover without conflicting names, and the number of their pairs of values."""
+    pairs = [[(w["item_pos"] + int(a[0]), a[1:], b[1:]) for a, b in zip(w["item_slots"], w["slots"])] for w in windows]
+    votes = Counter((a, b) for _, a, b in {p for ps in pairs for p in ps if p[1][0] == str(NAME)})
+    name = {a: b for (a, b), _ in sorted(votes.items(), key=lambda v: (v[1], v[0][0] == v[0][1], v[0]))}
+    places, values = set(), set()
+    for w, ps in zip(windows, pairs):
+        if all(name.get(a, b) == b for _, a, b in ps):
+            places.update(range(w["item_pos"], w["item_pos"] + w["size"]))
+            values.update((a, b) for _, a, b in ps)
+    return sorted(places), len(values)
+
+
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [bound(windows) for windows in batch["windows"].to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"], batch["item_id"], batch["item_words"], pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int32())],
+            ["doc_id", "item_id", "item_words", "places", "n_slots"],
+        )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover_percent: int = COVER_PERCENT, sent: int = SENT) -> DataFrame:
     """(doc_id, item_id, covered_words, item_words, n_slots) of each item of ``benchmark(item_id, text)`` that a document holds.
 
@@ -177,16 +203,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover_percent: int = COV
         BROADCAST_ROWS,
     )
     met = found.join(there, "window").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    # a diagonal has one window for each place of the item at most
-    pairs = F.arrays_zip("item_slots", "slots")
-    lines = met.groupBy("id", "item_id", "item_words", "diagonal").agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1)))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"),
-    )
-    n = F.size("pairs")
-    one_to_one = (F.size(F.array_distinct("pairs.item_slots")) == n) & (F.size(F.array_distinct("pairs.slots")) == n)
-    out = lines.where(one_to_one).groupBy(F.col("id").alias("doc_id"), "item_id", "item_words").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered_words"), F.max(n).alias("n_slots")
+    # a diagonal has few windows for each place of the item
+    lines = met.groupBy("id", "item_id", "item_words", "diagonal").agg(F.collect_set(F.struct("item_pos", "size", "item_slots", "slots")).alias("windows"))
+    lines = in_arrow(lines.drop("diagonal"), _bound, "doc_id long, item_id long, item_words int, places array<int>, n_slots int")
+    out = lines.groupBy("doc_id", "item_id", "item_words").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered_words"), F.max("n_slots").alias("n_slots")
     )
     enough = F.col("covered_words") * 100 >= F.col("item_words") * cover_percent
     return out.where(enough).select("doc_id", "item_id", "covered_words", "item_words", "n_slots")

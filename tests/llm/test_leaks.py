@@ -83,6 +83,24 @@ def test_reparameterised_items_are_found(spark, sent):
     assert {(1, 10), (2, 10), (7, 12)} <= found and not {a for a, _ in found} & {3, 4, 5}
 
 
+def found_in(spark, items, docs):
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in contaminated(d, i).collect()}
+
+
+def test_values_that_coincide_or_part_ways(spark):
+    pears = "Someone buys 2 apples and 2 pears at the market and then eats one of them on the way home."
+    other = "The clerk of the town met Alice and then gave Alice the keys of a house near the old river."
+    docs = [
+        ITEM.replace("Boston", "Chicago", 1),  # one town in two slots
+        ITEM.replace("40 mph", "3 mph"),
+        pears.replace("2 apples and 2", "3 apples and 4"),
+        other.replace("Alice", "Robert", 1).replace("Alice", "Mary"),  # the windows that hold both conflict
+    ]
+    assert found_in(spark, [ITEM, pears, other], docs) == {(0, 0), (1, 0), (2, 1), (3, 2)}
+
+
 def test_given_documents_against_brute_force(spark):
     path = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect() if len(r.text) < 3000]
