@@ -7,8 +7,9 @@ name that stands for it at most places, itself if there are as many; windows wit
 others count. Numbers and units are parameters of their own, which may coincide or differ. An item is found in a document
 when the windows that count cover at least half of the item's words.
 
-Windows with fewer literals than half their length say too little and are left out on both sides; an item of fewer than
-eight words has one window, itself. Windows of documents go to the join only if the items have the same hash; for that
+Windows with fewer literals than half their length say too little as templates and are joined by the words themselves, so
+copies of tables and lists of names are found, but no loose matches; an item of fewer than eight words has one window,
+itself. Windows of documents go to the join only if the items have the same hash; for that
 the items' hashes are sent to the tasks when there are at most ``SENT`` of them, and otherwise all windows are joined.
 """
 
@@ -69,7 +70,7 @@ class Templates:
         return b"".join(low.encode().split()) or raw, kind | unit << 2 | ends << 3
 
     def __call__(self, texts: list[bytes | None]):
-        """(keys, kinds, first, literal form of a word) of all words."""
+        """(keys, kinds, literal keys, first, literal form of a word) of all words."""
         found = self.hasher(texts)
         _, index, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
@@ -94,22 +95,28 @@ class Templates:
         unit[found.first[:-1][found.first[:-1] < len(codes)]] = False
         kinds[unit] = UNIT
         keys = np.where(kinds == LITERAL, literal, mix(kinds.astype(U64)))
-        return keys, kinds, found.first, lambda i: low[inverse[i]].decode()
+        return keys, kinds, literal, found.first, lambda i: low[inverse[i]].decode()
 
 
-def _runs(keys: np.ndarray, kinds: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first word of the windows of ``k`` words inside a text that have enough literals."""
+def _runs(keys: np.ndarray, kinds: np.ndarray, literal: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first word of the windows of ``k`` words inside a text, and whether they have enough literals. Other hashes are of the words."""
     n = len(keys)
     if n < k:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
     out = np.full(n - k + 1, mix(np.array([k], U64))[0])
     literals = np.zeros(n - k + 1, np.int8)
     for step in range(k):
         out = out * U64(0x9E3779B97F4A7C15) + keys[step : n - k + 1 + step]
         literals += kinds[step : n - k + 1 + step] == LITERAL
     room = np.repeat(first[1:], np.diff(first))[: n - k + 1] - np.arange(n - k + 1)
-    at = np.flatnonzero((literals * 2 >= k) & (room >= k))
-    return mix(out[at]), at
+    loose = literals * 2 >= k
+    poor = np.flatnonzero(~loose)
+    exact = np.full(len(poor), mix(np.array([k + 0x100], U64))[0])
+    for step in range(k):
+        exact = exact * U64(0x9E3779B97F4A7C15) + literal[poor + step]
+    out[poor] = exact
+    at = np.flatnonzero(room >= k)
+    return mix(out[at]), at, loose[at]
 
 
 SCHEMA = "id long, pos int, size int, words int, window long, slots array<string>"
@@ -118,7 +125,7 @@ SCHEMA = "id long, pos int, size int, words int, window long, slots array<string
 def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
     """The template windows of each text: its id, first word, size, the text's number of words, hash and slots.
 
-    A slot is its place in the window, its kind and its value.
+    A slot is its place in the window, its kind and its value. Windows that are joined by their words have none.
 
     ``sizes`` are the window sizes, None for the one of an item: eight or its own length. ``wanted`` are sorted hashes
     to which the windows are confined.
@@ -132,22 +139,22 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, w
         for batch in batches:
             ids = batch[0].to_pylist()
             for lo, hi, texts in slices(batch[1]):
-                keys, kinds, first, form = templates(texts)
+                keys, kinds, literal, first, form = templates(texts)
                 counts = np.diff(first)
                 text_of = np.repeat(np.arange(hi - lo), counts)
                 for k in sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):
-                    window, at = _runs(keys, kinds, first, k)
+                    window, at, loose = _runs(keys, kinds, literal, first, k)
                     if sizes is None and k < WINDOW:
-                        window, at = window[counts[text_of[at]] == k], at[counts[text_of[at]] == k]
+                        window, at, loose = (x[counts[text_of[at]] == k] for x in (window, at, loose))
                     if wanted is not None:
                         maybe = table[(window & U64((1 << 20) - 1)).astype(np.int64)]
-                        window, at = window[maybe], at[maybe]
+                        window, at, loose = window[maybe], at[maybe], loose[maybe]
                         there = np.isin(window, wanted)
-                        window, at = window[there], at[there]
+                        window, at, loose = window[there], at[there], loose[there]
                     if not len(at):
                         continue
                     owner = text_of[at]
-                    slots = [[f"{i - a}{kinds[i]}{form(i)}" for i in range(a, a + k) if kinds[i] != LITERAL] if kinds[a : a + k].any() else [] for a in at.tolist()]
+                    slots = [[f"{i - a}{kinds[i]}{form(i)}" for i in range(a, a + k) if kinds[i] != LITERAL] if t and kinds[a : a + k].any() else [] for a, t in zip(at.tolist(), loose.tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([ids[lo + i] for i in owner.tolist()], pa.int64()),

@@ -101,6 +101,13 @@ def test_values_that_coincide_or_part_ways(spark):
     assert found_in(spark, [ITEM, pears, other], docs) == {(0, 0), (1, 0), (2, 1), (3, 2)}
 
 
+def test_copies_of_numbers_and_names_are_found(spark):
+    items = ["1 2 3 4 5 6 7 8 9", "12 + 30 = 42", "the guests were Alice Robert Mary Peter Susan Laura Henry Walter Emma Oscar Paul Ruth"]
+    docs = [f"{x} in the text, {item} and some more of it." for item in items for x in ("somewhere",)]
+    docs += ["1 2 3 4 6 5 7 8 9 5", "12 + 31 = 43", items[2].replace("Mary", "Jane").replace("Laura", "Jane").replace("Oscar", "Jane")]
+    assert found_in(spark, items, docs) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_given_documents_against_brute_force(spark):
     path = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect() if len(r.text) < 3000]
