@@ -1,7 +1,8 @@
 """Documents that hold benchmark items, also with other numbers, names or units in them.
 
-Every word becomes a literal or a typed placeholder: numbers, units after a number, and capitalised words inside a
-sentence. Runs of eight such tokens, the template windows, are hashed and joined between documents and items. Windows
+Every word becomes a literal or a typed placeholder: numbers, units after a number, and capitalised words other than
+function words. At the beginning of a sentence, a line or a list's entry, a capitalised word may be a name or not; windows that
+hold one are taken in both readings, of which that as a name does not depend on the words before. Runs of eight such tokens, the template windows, are hashed and joined between documents and items. Windows
 that meet on one diagonal (document position less item position) are aligned. There, each name of the item is bound to the
 name that stands for it at most places, itself if there are as many; windows with another name for it are left out, the
 others count. Numbers and units are parameters of their own, which may coincide or differ. An item is found in a document
@@ -40,20 +41,25 @@ UNITS = frozenset(
     "meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years percent degrees dollars euros cents".split()
 )
+#: begin sentences more often than they are names
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those what which who whom whose when where why how if in on at of for from to by with and or but as is are was "
+    "were do does did can could should would has have had it its he she they we you i his her their our your there here not no".split()
+)
 _MARKS = "\"'`.,;:!?()[]{}<>«»“”‘’*_~|/\\-–—&%$#€£"
 _NUMBER = re.compile(r"[+-]?[0-9]+(?:[.,:/][0-9]+)*([A-Za-z]*)")
-_ENDS = re.compile(r"[.!?:][\"'”’»)\]!?.]*$")
+_ENDS = re.compile(r"[.!?:][\"'”’»)\]!?.]*$|^\(?(?:[0-9]{1,3}|[A-Za-z])[)\]]$|^[^\w\s]+$")  # the last two: marks of lists
 
 
 def canonical(word: str) -> tuple[str, int, bool, bool]:
-    """(literal form, kind inside a sentence, a unit's name, ends a sentence) of a word."""
+    """(literal form, kind inside a sentence, a unit's name, ends a sentence or marks an entry) of a word."""
     core = word.strip(_MARKS) or word
     low = core.lower()
     ends = _ENDS.search(word) is not None
     number = _NUMBER.fullmatch(core)
     if number and (not number[1] or number[1].lower() in UNITS):
         return low, NUMBER, False, ends
-    if core[0].isupper() and any(map(str.islower, core[1:])):
+    if core[0].isupper() and any(map(str.islower, core[1:])) and low not in FUNCTION_WORDS:
         return low, NAME, low in UNITS, ends
     return low, LITERAL, low in UNITS, ends
 
@@ -70,7 +76,7 @@ class Templates:
         return b"".join(low.encode().split()) or raw, kind | unit << 2 | ends << 3
 
     def __call__(self, texts: list[bytes | None]):
-        """(keys, kinds, literal keys, first, literal form of a word) of all words."""
+        """(kinds, whether a sentence begins, literal keys, first, literal form of a word) of all words."""
         found = self.hasher(texts)
         _, index, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
@@ -88,21 +94,23 @@ class Templates:
         kinds = codes & 3
         begins = np.zeros(len(codes), bool)
         begins[1:] = codes[:-1] & 8 > 0
+        text = np.frombuffer(found.buf, np.uint8)
+        lines = np.cumsum((text >= 10) & (text <= 13))
+        begins[1:] |= lines[found.starts[1:]] > lines[found.ends[:-1] - 1]
         begins[found.first[:-1][found.first[:-1] < len(codes)]] = True
-        kinds[(kinds == NAME) & begins] = LITERAL
         unit = np.zeros(len(codes), bool)
         unit[1:] = (codes[1:] & 4 > 0) & (kinds[:-1] == NUMBER)
         unit[found.first[:-1][found.first[:-1] < len(codes)]] = False
         kinds[unit] = UNIT
-        keys = np.where(kinds == LITERAL, literal, mix(kinds.astype(U64)))
-        return keys, kinds, literal, found.first, lambda i: low[inverse[i]].decode()
+        return kinds, begins, literal, found.first, lambda i: low[inverse[i]].decode()
 
 
-def _runs(keys: np.ndarray, kinds: np.ndarray, literal: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(kinds: np.ndarray, literal: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and first word of the windows of ``k`` words inside a text, and whether they have enough literals. Other hashes are of the words."""
-    n = len(keys)
+    n = len(kinds)
     if n < k:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, bool)
+    keys = np.where(kinds == LITERAL, literal, mix(kinds.astype(U64)))
     out = np.full(n - k + 1, mix(np.array([k], U64))[0])
     literals = np.zeros(n - k + 1, np.int8)
     for step in range(k):
@@ -139,11 +147,17 @@ def template_windows(rows: DataFrame, id_column: str, sizes: list[int] | None, w
         for batch in batches:
             ids = batch[0].to_pylist()
             for lo, hi, texts in slices(batch[1]):
-                keys, kinds, literal, first, form = templates(texts)
+                names, begins, literal, first, form = templates(texts)
+                plain = np.where(begins & (names != NUMBER), LITERAL, names)
+                differ = np.concatenate([[0], np.cumsum(plain != names)])
                 counts = np.diff(first)
                 text_of = np.repeat(np.arange(hi - lo), counts)
-                for k in sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c}):
-                    window, at, loose = _runs(keys, kinds, literal, first, k)
+                present = sizes if sizes is not None else sorted({min(WINDOW, int(c)) for c in counts if c})
+                for k, kinds in [(k, kinds) for k in present for kinds in (names, plain)]:
+                    window, at, loose = _runs(kinds, literal, first, k)
+                    if kinds is plain:
+                        other = differ[at + k] > differ[at]
+                        window, at, loose = window[other], at[other], loose[other]
                     if sizes is None and k < WINDOW:
                         window, at, loose = (x[counts[text_of[at]] == k] for x in (window, at, loose))
                     if wanted is not None:

@@ -108,6 +108,21 @@ def test_copies_of_numbers_and_names_are_found(spark):
     assert found_in(spark, items, docs) == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_beginnings_of_sentences(spark):
+    items = ["What is the capital of France?", "Calculate the sum of both numbers", "A train is late by how much"]
+    docs = [
+        "Sample questions\nWhat is the capital of France?",
+        "- What is the capital of France?",
+        "Sample What is the capital of France?",
+        "Sample questions\nCalculate the sum of both numbers",
+        "Task Calculate the sum of both numbers",
+        "then calculate the sum of both numbers",
+        "Questions: 1. A train is late by how much",
+        "Rome is the capital of Italy, as they say",
+    ]
+    assert found_in(spark, items, docs) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 2)}
+
+
 def test_given_documents_against_brute_force(spark):
     path = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect() if len(r.text) < 3000]
