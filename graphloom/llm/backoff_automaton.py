@@ -10,8 +10,8 @@ from left to right, the automaton is in the state of the words last read and add
 
 Counts of a large corpus fit in no task, so the automaton is spread out. Documents are read in blocks of some hundred thousand
 tokens. A block sends its distinct n-grams and their training counts to the parts of the key space, one row a part; a
-part adds up and answers with the total counts; the block then has all states and arcs that its own texts can reach,
-and runs them through that automaton. So a frequent n-gram costs a part one entry a block, and nothing is broadcast.
+part adds up and answers with the total counts; the block then has the counts of all n-grams of its own texts, and the
+weights are worked out order by order for all its tokens at once, without states, arcs or a carried state. So a frequent n-gram costs a part one entry a block, and nothing is broadcast.
 
 The blocks are formed twice from the input, once for what they ask and once for the texts. The input must come in the same
 order both times, as tables do; if it does not, an error is raised.
