@@ -10,10 +10,13 @@ from graphloom.llm.anchored_pii import personal_data
 from graphloom.llm.arrow_sequences import token_files
 from graphloom.llm.backoff_automaton import log_probabilities
 from graphloom.llm.chat_prefix_tree import build_forest, read_conversations
+from graphloom.llm.conversation_repair import repaired_conversations
 from graphloom.llm.extendible_hashing import shard_documents
+from graphloom.llm.finite_state_counts import token_counts
 from graphloom.llm.merge_dropout import encode
 from graphloom.llm.rule_ensemble import quality_scores
 from graphloom.llm.rule_ledger import BASE, PROSE, ledger, passes
+from graphloom.llm.spelling_variants import spelling_variants
 from graphloom.llm.superminhash import near_duplicates
 from graphloom.llm.tables import table
 from graphloom.llm.template_decontamination import contaminated
@@ -186,3 +189,115 @@ def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op1_rule_ensemble", None)
 def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: CRC-32 of each byte, and the CRC-32 of the text ``key``
+CRC_TABLE = """tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT] || list_transform(range(8), lambda k: 0::BIGINT),
+      lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v
+    FROM range(256) r(i)))"""
+CRC_KEY = """xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(range(1, strlen(key) + 1),
+    lambda i: ('0x' || substr(hex(encode(key)), (2 * i - 1)::INT, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+OP11_SQL = (
+    "WITH RECURSIVE "
+    + CRC_TABLE
+    + r""",
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+keys AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key, count(*) AS k FROM runs GROUP BY 1, 2),
+drawn AS (SELECT run, k, """
+    + CRC_KEY
+    + """ AS h FROM keys, tab),
+kept AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM drawn),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM kept WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+shorter AS (
+  SELECT word, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM shorter a JOIN shorter b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.d
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.d),
+counts AS (SELECT a, count(*) AS n_near FROM near GROUP BY 1),
+best AS (SELECT a, b, n AS form_n FROM near JOIN words ON word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) = 1),
+formed AS (SELECT w.word, w.n, CASE WHEN form_n >= 2 * n THEN b END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best ON best.a = w.word),
+chain AS (
+  SELECT word, word AS tip FROM words
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.tip WHERE formed.form IS NOT NULL)
+SELECT formed.word, formed.form, tip AS root, formed.n, coalesce(n_near, 0)::BIGINT AS n_near, formed.form_n
+FROM formed JOIN chain ON chain.word = formed.word JOIN formed e ON e.word = tip AND e.form IS NULL LEFT JOIN counts ON counts.a = formed.word"""
+)
+
+
+@CATALOG.query("op11_trie_node_pairs", OP11_SQL)
+def op11_trie_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@CATALOG.query("op12_token_transducers", None)
+def op12_token_transducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = (
+    "WITH RECURSIVE "
+    + CRC_TABLE
+    + r""",
+keys AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+drawn AS (SELECT *, """
+    + CRC_KEY
+    + r""" % 20 AS damage FROM keys, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM drawn, range(2) c(copy) WHERE damage <> 0 AND (copy = 0 OR damage = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM placed),
+faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault, substr(role, 1, 1) AS initial
+  FROM seen),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, max(i) AS n
+  FROM faults GROUP BY 1),
+pairs AS (SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM faults),
+unlike AS (SELECT conv_id, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY 1),
+inserts(a, b, price, letters, added) AS (
+  VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+    (0, 2, 3, 'I', E'user:\n'), (1, 2, 3, 'I', E'user:\n'), (3, 2, 3, 'I', E'user:\n'), (2, 3, 3, 'I', E'assistant:\n'),
+    (0, 3, 6, 'II', E'user:\nassistant:\n'), (1, 3, 6, 'II', E'user:\nassistant:\n')),
+row_edits(b, c, letter, initial) AS (
+  VALUES (0, 0, 'D', NULL), (1, 1, 'D', NULL), (2, 2, 'D', NULL), (3, 3, 'D', NULL), (0, 2, 'R', NULL), (1, 2, 'R', NULL), (3, 2, 'R', NULL), (2, 3, 'R', NULL),
+    (0, 1, 'K', 's'), (0, 2, 'K', 'u'), (1, 2, 'K', 'u'), (3, 2, 'K', 'u'), (2, 3, 'K', 'a')),
+moves AS (
+  SELECT a, c, letter, initial, price + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END AS price, letters || letter AS letters, added
+  FROM inserts JOIN row_edits USING (b)),
+steps AS (
+  SELECT f.conv_id, i, a, c, price + CASE WHEN fault = 't' AND letter <> 'D' THEN 3 ELSE 0 END AS price, letters,
+    added || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || E'\n' ELSE CASE c WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || text || E'\n' END AS lines
+  FROM faults f JOIN moves m ON (m.initial IS NULL OR m.initial = f.initial) AND (letter = 'D' OR fault NOT IN ('b', 'd'))),
+best AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'lines': ''} AS way FROM figures
+  UNION ALL
+  SELECT b.conv_id, s.i, s.c, min({'cost': b.way.cost + s.price, 'audit': b.way.audit || s.letters, 'lines': b.way.lines || s.lines})
+  FROM best b JOIN steps s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i + 1 AND s.a = b.q GROUP BY b.conv_id, s.i, s.c),
+ends AS (
+  SELECT b.conv_id, min({'cost': way.cost + price, 'audit': way.audit || letters, 'lines': way.lines || added}) AS way
+  FROM best b JOIN figures f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.n = b.i JOIN inserts ON inserts.a = b.q AND inserts.b IN (0, 3) GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.cost, 0)::BIGINT AS cost,
+  coalesce(way.audit, '') AS audit, sha256(coalesce(left(way.lines, greatest(length(way.lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN unlike u ON u.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+)
+
+
+@CATALOG.query("op13_hirschberg_repair", OP13_SQL)
+def op13_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
