@@ -175,15 +175,16 @@ def fit_dgi(
     patience: int = 3,
     seed: int = 1,
     by: Sequence[str] = ("subgraph_id",),
+    start: DgiModel | None = None,
 ) -> DgiModel:
-    """Train on tables from ``views``; several tables (other shuffles) take turns, one per epoch.
+    """Train on tables from ``views``; several tables (other shuffles) take turns, one per epoch. ``start`` is a model to go on from.
 
     Stops after ``patience`` epochs without a better loss and keeps the parameters of the best.
     """
     by = list(by)
     tables = [settled(t, "dgi-rows") for t in (rows if isinstance(rows, list) else [rows])]
     n_groups = tables[0].select(*by).distinct().count()
-    model = init_dgi(len(tables[0].first()["z"]), hidden, seed)
+    model = DgiModel(dict(start.params)) if start else init_dgi(len(tables[0].first()["z"]), hidden, seed)
     adam, best, waited = Adam(lr), float("inf"), 0
     params = model.params
     for epoch in range(epochs):

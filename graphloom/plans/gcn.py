@@ -5,24 +5,28 @@ sum per node; only the dense product with the weights is numpy, on whatever rows
 backward pass sends gradients along the reversed edges in the same way. One step therefore covers
 any number of subgraphs, of any size, and a subgraph may hold most of all nodes.
 
-A step's loss is the mean over its subgraphs of the masked mean loss. ``groups_per_step=1``
-takes one step per subgraph in turn, the default takes all in one step.
+A step's loss is the mean over its subgraphs of the masked mean loss. Training takes one step per subgraph in turn;
+``groups_per_step=None`` takes all in one step. Subgraphs that fit a task are packed into a row each (``packed``), so a
+step reads its own subgraphs and one job gives their gradient. Larger ones are stepped over by the joins above.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.network import LN_EPS, Adam, glorot, repeatable_keep, softmax_rows, stack
+from graphloom.functions.network import LN_EPS, Adam, glorot, repeatable_keep, stack
 from graphloom.functions.scalars import layer_norm
-from graphloom.operators.sampling import batch_assignment
-from graphloom.plans.params import Params, sum_arrays, unflatten
+from graphloom.operators.vectors import sum_vectors
+from graphloom.plans.packed import MOST, Packed, pack_subgraphs, packed_gradients, top
+from graphloom.plans.params import Params, load_params, save_params, sum_arrays, unflatten
 from graphloom.scratch import cut, settled
 
 # ---- one layer as an operator
@@ -68,15 +72,25 @@ def gcn_layer(
     return rows.select(*by, "id", "features")
 
 
+NARROW = 16
+
+
 def aggregate_neighbours(
     adj: DataFrame, x: DataFrame, by: Sequence[str], dim: int, concat_self: bool = True, features: str = "features"
 ) -> DataFrame:
     """``(by, id, z)`` with ``z = [A·X, X]`` or ``A·X``, for every node of ``x``.
 
     The neighbours' sum and the node's own vector meet in one aggregation, which also keeps nodes
-    without neighbours.
+    without neighbours. Wide vectors are summed whole, narrow ones a column an element.
     """
     by = list(by)
+    if dim > NARROW:
+        met = adj.join(x.select(*by, F.col("id").alias("col"), features), [*by, "col"])
+        heard = sum_vectors(met.select(*by, F.col("row").alias("id"), "val", features), [*by, "id"], features, "val")
+        zeros = F.array_repeat(F.lit(0.0), dim)
+        rows = x.select(*by, "id", F.col(features).cast("array<double>").alias("_own")).join(heard, [*by, "id"], "left")
+        total = F.coalesce("vec", zeros)
+        return rows.select(*by, "id", (F.concat(total, "_own") if concat_self else total).alias("z"))
     s, t = [f"s{i}" for i in range(dim)], [f"t{i}" for i in range(dim)]
     vec = [F.get(features, F.lit(i)) for i in range(dim)]
     met = adj.join(x.select(*by, F.col("id").alias("col"), features), [*by, "col"])
@@ -101,6 +115,7 @@ class GcnModel:
     n_layers: int
     norm: bool = True
     precalc: str | bool = True
+    kind: str = "softmax"
     history: list[dict] = field(default_factory=list)
 
     def layer(self, i: int) -> dict:
@@ -114,7 +129,9 @@ class GcnModel:
         }
 
 
-def init_gcn(dim: int, classes: int, layers: int, hidden: int, norm: bool, precalc: str | bool, seed: int) -> GcnModel:
+def init_gcn(
+    dim: int, classes: int, layers: int, hidden: int, norm: bool, precalc: str | bool, seed: int, kind: str = "softmax"
+) -> GcnModel:
     rng = np.random.default_rng(seed)
     params: Params = {}
     for i in range(1, layers + 1):
@@ -123,7 +140,19 @@ def init_gcn(dim: int, classes: int, layers: int, hidden: int, norm: bool, preca
         params[f"w{i}"] = glorot(rng, rows, cols)
         if norm and i < layers:
             params[f"offset{i}"], params[f"scale{i}"] = np.zeros(cols), np.ones(cols)
-    return GcnModel(params, layers, norm, precalc)
+    return GcnModel(params, layers, norm, precalc, kind)
+
+
+def save_gcn(spark: SparkSession, model: GcnModel, path: str) -> None:
+    """Parameters and shape of a model, as two small tables below ``path``."""
+    save_params(spark, model.params, f"{path}/params")
+    shape = [(model.n_layers, model.norm, json.dumps(model.precalc), model.kind)]
+    spark.createDataFrame(shape, "n_layers int, norm boolean, precalc string, kind string").write.mode("overwrite").parquet(f"{path}/shape")
+
+
+def load_gcn(spark: SparkSession, path: str) -> GcnModel:
+    shape = spark.read.parquet(f"{path}/shape").first()
+    return GcnModel(load_params(spark, f"{path}/params"), shape["n_layers"], shape["norm"], json.loads(shape["precalc"]), shape["kind"])
 
 
 def _forward_rows(layer: dict, z: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -192,21 +221,22 @@ def _inputs(model: GcnModel, z1: DataFrame, adj: DataFrame, by: Sequence[str], d
 
 def _gradients(
     model: GcnModel, zs: list[DataFrame], targets: DataFrame, adj: DataFrame, by: Sequence[str], dropout: float, seed: int
-) -> tuple[float, Params]:
-    """Loss and gradients. ``targets`` is ``(by, id, target, share)``: one-hot row and weight of the row's loss."""
+) -> tuple[float, float, Params]:
+    """Loss, share of right rows, and gradients. ``targets`` is ``(by, id, target, share)``: one-hot row and weight of the row's loss."""
     by = list(by)
     reverse = adj.select(*by, F.col("col").alias("row"), F.col("row").alias("col"), "val")
     total: Params = {}
-    loss = 0.0
+    kind = model.kind
+    loss = right = 0.0
     up: DataFrame | None = None
     for i in range(model.n_layers, 0, -1):
         layer, last = model.layer(i), i == model.n_layers
         names = ["w"] + (["scale", "offset"] if layer["scale"] is not None else [])
         like = {n: layer[n] for n in names}
-        size = 1 + sum(v.size for v in like.values())
+        size = 2 + sum(v.size for v in like.values())
         side = targets if last else up
         rows = zs[i - 1].join(side, [*by, "id"]).withColumn("_h", F.xxhash64(*by, "id"))
-        schema = rows.select(*by, "id", F.col("z").alias("down"), F.col("z").alias("grads")).schema
+        schema = rows.select(*by, "id", F.col("z").alias("down"), F.lit(None).cast("binary").alias("grads")).schema
         drop_seed = seed * 100 + i
 
         def run(batches, layer=layer, last=last, size=size, names=names, drop_seed=drop_seed):
@@ -219,32 +249,29 @@ def _gradients(
                 z = z if keep is None else z * keep
                 out, memo = _forward_rows(layer, z)
                 if last:
-                    y, share = stack(pdf["target"]), pdf["share"].to_numpy()[:, None]
-                    top = out.max(axis=1, keepdims=True)
-                    lse = top + np.log(np.exp(out - top).sum(axis=1, keepdims=True))
-                    flat[0] += float((share * y * (lse - out)).sum())
-                    grad = share * (softmax_rows(out) * y.sum(axis=1, keepdims=True) - y)
+                    cost, hit, grad = top(kind, out, stack(pdf["target"]), pdf["share"].to_numpy()[:, None])
+                    flat[:2] += cost, hit
                 else:
                     grad = stack(pdf["up"])
                 down, grads = _backward_rows(layer, z, memo, grad)
                 down = down if keep is None else down * keep
-                flat[1:] += np.concatenate([grads[n].ravel() for n in sorted(names)])
+                flat[2:] += np.concatenate([grads[n].ravel() for n in sorted(names)])
                 res = pdf[[*by, "id"]].copy()
                 res["down"] = list(down)
                 res["grads"] = None
                 yield res
             # the task's share of the parameter gradients travels as one more row
-            yield pd.DataFrame({**{c: [None] for c in [*by, "id"]}, "down": [None], "grads": [flat]})
+            yield pd.DataFrame({**{c: [None] for c in [*by, "id"]}, "down": [None], "grads": [flat.tobytes()]})
 
         both = cut(rows.mapInPandas(run, _nullable(schema)), f"back{i}")
         flat = sum_arrays(both.filter("grads IS NOT NULL"), "grads", size)
-        loss += flat[0]
-        for n, g in unflatten(flat[1:], like).items():
+        loss, right = loss + flat[0], right + flat[1]
+        for n, g in unflatten(flat[2:], like).items():
             total[f"{n}{i}"] = g
         if i > 1:
             width = model.layer(i - 1)["w"].shape[1]
             up = _route_back(both.filter("down IS NOT NULL"), reverse, by, width)
-    return loss, total
+    return loss, right, total
 
 
 def _nullable(schema):
@@ -255,6 +282,11 @@ def _nullable(schema):
 
 def _route_back(down: DataFrame, reverse: DataFrame, by: list[str], width: int) -> DataFrame:
     """Gradient of a layer's output: its neighbours' part along reversed edges plus its own part."""
+    if width > NARROW:
+        met = reverse.join(down.select(*by, F.col("id").alias("col"), F.slice("down", 1, width).alias("down")), [*by, "col"])
+        heard = met.select(*by, F.col("row").alias("id"), "val", "down")
+        own = down.select(*by, "id", F.lit(1.0).alias("val"), F.slice("down", width + 1, width).alias("down"))
+        return sum_vectors(heard.unionByName(own), [*by, "id"], "down", "val").withColumnRenamed("vec", "up")
     parts = [f"d{i}" for i in range(width)]
     met = reverse.join(down.select(*by, F.col("id").alias("col"), "down"), [*by, "col"])
     heard = met.select(*by, F.col("row").alias("id"), *[(F.col("val") * F.get("down", F.lit(i))).alias(p) for i, p in enumerate(parts)])
@@ -263,6 +295,45 @@ def _route_back(down: DataFrame, reverse: DataFrame, by: list[str], width: int)
     return summed.select(*by, "id", F.array(*parts).alias("up"))
 
 
+def _packed_step(model: GcnModel, rows: DataFrame, n: int, groups: int, dropout: float, seed: int) -> np.ndarray:
+    """Loss, share of right rows and gradients, flat, of ``n`` packed subgraphs of a step of ``groups``."""
+    layers = [model.layer(i) for i in range(1, model.n_layers + 1)]
+    classes = layers[-1]["w"].shape[1]
+    run = packed_gradients(layers, model.kind, classes, groups, dropout, seed, _forward_rows, _backward_rows)
+    return sum_arrays(rows.mapInArrow(run, "part binary"), "part", 2 + sum(v.size for v in model.params.values()), few=n <= 8)
+
+
+def _by_layer(model: GcnModel, flat: np.ndarray) -> Params:
+    out, at = {}, 0
+    for i in range(1, model.n_layers + 1):
+        for name in sorted(n for n in ("w", "scale", "offset") if f"{n}{i}" in model.params):
+            like = model.params[f"{name}{i}"]
+            out[f"{name}{i}"] = flat[at : at + like.size].reshape(like.shape)
+            at += like.size
+    return out
+
+
+def gcn_step(
+    model: GcnModel, packed: Packed, numbers: Sequence[int], by: str, dropout: float = 0.0, seed: int = 0
+) -> tuple[float, float, Params]:
+    """Loss, accuracy and gradients over the subgraphs of these numbers: one job for those that are packed, joins for the others."""
+    large = [i for i in numbers if i in packed.large]
+    small = [i for i in numbers if i not in packed.large]
+    loss, right, total = 0.0, 0.0, {k: np.zeros_like(v) for k, v in model.params.items()}
+    if small:
+        flat = _packed_step(model, packed.some("rows", small), len(small), len(numbers), dropout, seed)
+        loss, right, total = flat[0], flat[1], _by_layer(model, flat[2:])
+    if large:
+        nodes, edges = packed.some("nodes", large), packed.some("edges", large)
+        share = F.when(F.col("is_masked"), 1.0 / (F.col("n") * float(len(numbers)))).otherwise(0.0)
+        targets = nodes.select(by, "id", "target", share.alias("share"))
+        adj = edges.select(by, "row", "col", "val")
+        zs = _inputs(model, nodes.select(by, "id", "z"), adj, [by], dropout, seed)
+        more_loss, more_right, more = _gradients(model, zs, targets, adj, [by], dropout, seed)
+        loss, right, total = loss + more_loss, right + more_right, {k: total[k] + more[k] for k in total}
+    return float(loss), float(right), total
+
+
 def fit_gcn(
     nodes: DataFrame,
     adj: DataFrame,
@@ -275,15 +346,22 @@ def fit_gcn(
     norm: bool = True,
     precalc: str | bool = True,
     early_stopping: int = 1000,
-    groups_per_step: int | None = None,
+    groups_per_step: int | None = 1,
     validation: tuple[DataFrame, DataFrame] | None = None,
     seed: int = 1,
     by: str = "subgraph_id",
+    kind: str = "softmax",
+    shuffle: bool = True,
+    start: GcnModel | None = None,
+    most: int = MOST,
 ) -> GcnModel:
     """Train on ``nodes(by, id, features, target, is_masked)`` and normalised ``adj(by, row, col, val)``.
 
-    ``target`` is the one-hot array; a row of zeros is an unknown class. ``history`` of the result
-    has loss, and with ``validation=(nodes, adj)`` validation loss, per epoch.
+    ``target`` is the one-hot array, in which a row of zeros is an unknown class, or with ``kind="sigmoid"`` the array of
+    labels. Each epoch takes the subgraphs in another order, ``groups_per_step`` in a step; without ``shuffle`` in order of
+    their ids. ``start`` is a model to go on from. ``history`` of the result has an entry per epoch: mean loss over the
+    steps, loss of the first, loss and accuracy of the last step, ``seconds`` of training, and with ``validation=(nodes, adj)`` loss,
+    accuracy, micro and macro F1 of that. Subgraphs of more than ``most`` nodes and edges are not held by a task.
     """
     if layers < 2:
         raise ValueError("at least two layers")
@@ -291,40 +369,28 @@ def fit_gcn(
     nodes, adj = settled(nodes, "gcn-nodes"), settled(adj, "gcn-adj")
     first = nodes.select("features", "target").first()
     dim, classes = len(first["features"]), len(first["target"])
-    model = init_gcn(dim, classes, layers, hidden, norm, precalc, seed)
-    z1 = cut(first_input(nodes, adj, dim, precalc, keys), "gcn-input")
-    used = cut(nodes.filter("is_masked").groupBy(by).agg(F.count(F.lit(1)).alias("n")), "gcn-groups")
-    n_groups = used.count()
+    model = start or init_gcn(dim, classes, layers, hidden, norm, precalc, seed, kind)
+    z1 = cut(first_input(nodes, adj, dim, model.precalc, keys), "gcn-input")
+    packed = pack_subgraphs(z1, nodes, adj, by, most)
+    per_step = groups_per_step or packed.groups
+    rng = np.random.default_rng(seed)
     adam = Adam(lr)
     costs: list[float] = []
     for epoch in range(epochs):
-        if groups_per_step is None:
-            steps, batches = 1, used.select(by, "n", F.lit(0).alias("batch_id"))
-        else:
-            steps = -(-n_groups // groups_per_step)
-            order = batch_assignment(used.withColumnRenamed(by, "subgraph_id"), groups_per_step, seed + epoch)
-            batches = cut(used.join(order.withColumnRenamed("subgraph_id", by), by), "gcn-batches")
+        begun = time.time()
+        order = (rng.permutation(packed.groups) if shuffle else np.arange(packed.groups)).tolist()
         losses = []
-        for step in range(steps):
-            batch = batches.filter(F.col("batch_id") == step)
-            size = n_groups if groups_per_step is None else batch.count()
-            share = F.when(F.col("is_masked"), 1.0 / (F.col("n") * float(size))).otherwise(0.0)
-            targets = nodes.join(batch.select(by, "n"), by).select(by, "id", "target", share.alias("share"))
-            z, a = z1, adj
-            if groups_per_step is not None:
-                z, a = (t.join(batch.select(by), by, "left_semi") for t in (z1, adj))
-            step_seed = seed + epoch * steps + step
-            zs = _inputs(model, z, a, keys, dropout, step_seed)
-            loss, grads = _gradients(model, zs, targets, a, keys, dropout, step_seed)
+        for step, at in enumerate(range(0, len(order), per_step)):
+            loss, accuracy, grads = gcn_step(model, packed, order[at : at + per_step], by, dropout, seed + epoch * packed.groups + step)
             if weight_decay:
                 for name in [n for n in grads if n.rstrip("0123456789") + "1" == n]:
                     loss += weight_decay * 0.5 * float((model.params[name] ** 2).sum())
                     grads[name] = grads[name] + weight_decay * model.params[name]
             model.params = adam.step(model.params, grads)
             losses.append(loss)
-        record = {"epoch": epoch + 1, "loss": float(np.mean(losses))}
+        record = {"epoch": epoch + 1, "loss": float(np.mean(losses)), "first_loss": losses[0], "last_loss": loss, "accuracy": accuracy, "seconds": time.time() - begun}
         if validation is not None:
-            record["val_loss"] = masked_cost(model, *validation, by=by)
+            record |= {f"val_{k}": v for k, v in validate(model, *validation, by=by).items()}
             costs.append(record["val_loss"])
         model.history.append(record)
         if costs and epoch > early_stopping and costs[-1] > np.mean(costs[-(early_stopping + 1) : -1]):
@@ -332,11 +398,16 @@ def fit_gcn(
     return model
 
 
-def masked_cost(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "subgraph_id") -> float:
-    from graphloom.operators.metrics import masked_loss, weighted_batch_metric
+def validate(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "subgraph_id") -> dict[str, float]:
+    """Loss and accuracy as means over subgraphs weighted by masked rows, micro and macro F1 over all masked rows."""
+    from graphloom.operators.metrics import evaluate, masked_accuracy, masked_loss, multilabel_f1, weighted_batch_metric
 
-    scored = predict_gcn(model, nodes, adj, by).join(nodes.select(by, "id", "target", "is_masked"), [by, "id"])
-    return float(weighted_batch_metric(masked_loss(scored, by=[by]), ["loss"]).first()[0])
+    scored = cut(predict_gcn(model, nodes, adj, by).join(nodes.select(by, "id", "target", "is_masked"), [by, "id"]), "scored")
+    if model.kind == "softmax":
+        return {k: v for k, v in evaluate(scored, by=[by]).first().asDict().items() if k != "auc"}
+    groups = masked_loss(scored, model.kind, by=[by]).join(masked_accuracy(scored, model.kind, by=[by]).drop("n"), by)
+    out = weighted_batch_metric(groups, ["loss", "accuracy"]).first().asDict()
+    return out | multilabel_f1(scored.where("is_masked")).first().asDict()
 
 
 def predict_gcn(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "subgraph_id") -> DataFrame:
@@ -351,5 +422,3 @@ def predict_gcn(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "su
         if i < model.n_layers:
             z = cut(aggregate_neighbours(adj, out, keys, layer["w"].shape[1]), f"predict{i + 1}")
     return out.select(by, "id", F.col("features").alias("logits"), F.element_at("features", 2).alias("p"))
-
-

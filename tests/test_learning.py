@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.network import Adam
 from graphloom.operators import edges as E
 from graphloom.operators import features as X
 from graphloom.operators import similarity as M
@@ -219,7 +220,7 @@ def test_gcn_gradients(spark, small, precalc, norm):
     )
     z1 = G.first_input(nodes, adj, 3, precalc, SUB)
     zs = G._inputs(model, z1, adj, SUB, 0.0, 0)
-    loss, grads = G._gradients(model, zs, targets, adj, SUB, 0.0, 0)
+    loss, _, grads = G._gradients(model, zs, targets, adj, SUB, 0.0, 0)
     want, logits = numpy_loss(model, model.params, a, data, precalc)
     assert loss == pytest.approx(want)
     assert set(grads) == set(model.params)
@@ -327,3 +328,84 @@ def test_functions_sent_to_executors_need_no_installed_package():
     code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); import pandas as pd; print(f(pd.Series([[0.0, 0.0]])))"
     out = subprocess.run([sys.executable, "-c", code], input=blob, capture_output=True, cwd="/", check=True)
     assert b"0.5" in out.stdout
+
+
+def steps_agree(spark, small, kind, dropout, hidden, precalc):
+    nodes, _, adj, _ = small
+    model = G.init_gcn(3, 2, layers=3, hidden=hidden, norm=True, precalc=precalc, seed=5, kind=kind)
+    z1 = G.first_input(nodes, adj, 3, precalc, SUB)
+    packed = G.pack_subgraphs(z1, nodes, adj, "subgraph_id")
+    joined = G.pack_subgraphs(z1, nodes, adj, "subgraph_id", most=0)
+    mixed = G.pack_subgraphs(z1, nodes, adj, "subgraph_id", most=10)
+    assert (len(packed.large), len(joined.large), len(mixed.large)) == (0, 2, 1)
+    want = G.gcn_step(model, joined, [0, 1], "subgraph_id", dropout, 9)
+    for other in (packed, mixed):
+        got = G.gcn_step(model, other, [0, 1], "subgraph_id", dropout, 9)
+        assert got[:2] == pytest.approx(want[:2])
+        assert all(np.allclose(got[2][k], want[2][k], atol=1e-12) for k in model.params)
+    return want
+
+
+@pytest.mark.parametrize("kind, dropout, hidden, precalc", [("softmax", 0.0, 4, True), ("sigmoid", 0.3, 4, False), ("softmax", 0.2, 20, "skip")])
+def test_packed_steps_are_those_of_the_joins(spark, small, kind, dropout, hidden, precalc):
+    loss, right, grads = steps_agree(spark, small, kind, dropout, hidden, precalc)
+    assert loss > 0 and 0 <= right <= 1 and all(np.abs(g).sum() > 0 for k, g in grads.items() if k.startswith("w"))
+
+
+@pytest.mark.parametrize("kind", ["softmax", "sigmoid"])
+def test_slopes_of_the_losses(kind):
+    from graphloom.plans.packed import top
+
+    rng = np.random.default_rng(1)
+    out, y, share = rng.normal(size=(6, 3)), np.eye(3)[[0, 1, 2, 2, 1, 0]], rng.random((6, 1))
+    grad = top(kind, out, y, share)[2]
+    for at in np.ndindex(out.shape):
+        step = np.zeros_like(out)
+        step[at] = 1e-6
+        slope = (top(kind, out + step, y, share)[0] - top(kind, out - step, y, share)[0]) / 2e-6
+        assert grad[at] == pytest.approx(slope, abs=1e-7)
+
+
+def test_an_epoch_steps_from_subgraph_to_subgraph(spark, small):
+    """Against the same steps taken by hand, in order of the subgraphs' ids."""
+    nodes, _, adj, _ = small
+    start = G.init_gcn(3, 2, layers=2, hidden=4, norm=True, precalc=True, seed=5)
+    packed = G.pack_subgraphs(G.first_input(nodes, adj, 3, True, SUB), nodes, adj, "subgraph_id")
+    params, adam, losses = dict(start.params), Adam(0.01), []
+    for number in (0, 1):
+        loss, _, grads = G.gcn_step(G.GcnModel(params, 2), packed, [number], "subgraph_id")
+        params = adam.step(params, grads)
+        losses.append(loss)
+    model = G.fit_gcn(nodes, adj, epochs=1, shuffle=False, start=G.GcnModel(dict(start.params), 2))
+    assert all(np.allclose(model.params[k], params[k]) for k in params)
+    record = model.history[0]
+    assert (record["first_loss"], record["last_loss"]) == pytest.approx(tuple(losses)) and record["loss"] == pytest.approx(np.mean(losses))
+
+
+def test_a_saved_model_predicts_the_same(spark, small, tmp_path):
+    nodes, _, adj, _ = small
+    model = G.fit_gcn(nodes, adj, layers=3, hidden=4, epochs=1, precalc=False, kind="sigmoid", validation=(nodes, adj))
+    assert {"val_loss", "val_accuracy", "val_micro_f1", "val_macro_f1"} <= set(model.history[0])
+    G.save_gcn(spark, model, str(tmp_path / "model"))
+    back = G.load_gcn(spark, str(tmp_path / "model"))
+    assert (back.n_layers, back.norm, back.precalc, back.kind) == (3, True, False, "sigmoid")
+    rows = [{r["id"]: r["logits"] for r in G.predict_gcn(m, nodes, adj).collect()} for m in (model, back)]
+    assert rows[0] == rows[1]
+
+
+def test_sums_of_vectors(spark):
+    from graphloom.operators.vectors import sum_vectors
+
+    rng = np.random.default_rng(2)
+    data = [("ab"[i % 2] if i % 7 else None, int(rng.integers(0, 30)) if i % 3 else 5, [float(x) for x in rng.normal(size=40)], float(i % 4)) for i in range(3000)]
+    rows = spark.createDataFrame(data, "g string, id int, x array<double>, w double").repartition(5)
+    want: dict = {}
+    for g, i, x, w in data:
+        want[g, i] = want.get((g, i), 0) + w * np.array(x)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r["g"], r["id"]): r["vec"] for r in sum_vectors(rows, ["g", "id"], "x", "w").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    assert sum_vectors(rows.where("false"), ["g"], "x").count() == 0
