@@ -80,10 +80,35 @@ def test_groups_are_those_of_brute_force(spark, percent, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, percent).collect()} == want
     # the same in many small blocks
     monkeypatch.setattr(superminhash, "MEMBERS", 8)
+    monkeypatch.setattr(superminhash, "SPOKES", 5)
     monkeypatch.setattr(superminhash, "SHINGLES", 500)
     assert {r.doc_id: r.component_id for r in near_duplicates(docs, percent).collect()} == want
 
 
+@pytest.mark.parametrize("n", [500, 4000])
+def test_links_grow_with_a_family_not_with_its_square(spark, monkeypatch, n):
+    rng = random.Random(n)
+    base = prose(rng, 200).split()
+    docs = spark.createDataFrame([(i, edited(rng, base, 1)) for i in range(n)], "doc_id long, text string")
+    counted = []
+
+    def counting(links):
+        counted.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(superminhash, "components", counting)
+    assert {r.component_id for r in near_duplicates(docs, 85).collect()} == {0}
+    assert sum(counted) <= 12 * n
+
+
+def test_the_longest_row_of_a_doc_id_stays(spark):
+    rng = random.Random(1)
+    text = prose(rng, 50)
+    rows = [(4, None, "a"), (4, text, "b"), (4, text[:100], "c"), (4, "", "d"), (5, text, "e"), (None, text, "f"), (6, "other", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tmp_0 string")
+    assert sorted(r.tmp_0 for r in without_near_duplicates(docs, 85).collect()) == ["b", "f", "g"]
+
+
 def test_odd_rows(odd_docs, odd_rows):
     got = near_duplicates(odd_docs, 85).collect()
     assert len(got) == len(odd_rows)

@@ -1,4 +1,7 @@
+import itertools
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -8,41 +11,59 @@ from tests.llm.conftest import prose
 ITEM = "A train leaves Boston at 9:30 and travels 120 miles at a steady speed of 40 mph while Alice waits 3 hours for it near the station in Boston."
 
 
-def template(text):
-    """(kind, form) of each word."""
-    out, begins, number = [], True, False
-    for word in (text or "").encode().split():
+def readings(text):
+    """The two readings of a text, each a list of (kind, form): as names, and as literals where a word begins a sentence or line."""
+    words = [(w, at) for at, line in enumerate(re.split(r"[\n\v\f\r]", text or "")) for w in line.encode().split() if w]
+    names, plain = [], []
+    begins, number, line = True, False, 0
+    for word, at in words:
         low, kind, unit, ends = canonical(word.decode())
-        if kind == NAME and begins:
-            kind = LITERAL
         if unit and number:
             kind = UNIT
-        out.append((kind, low))
-        begins, number = ends, kind == NUMBER
+        begins = begins or at > line
+        names.append((kind, low))
+        plain.append((LITERAL if begins and kind != NUMBER else kind, low))
+        begins, number, line = ends, kind == NUMBER, at
+    return names, plain
+
+
+def windows(text, k):
+    """What a window says, for each place: its kinds and literal words, or its words where it has too few literals."""
+    out = defaultdict(set)
+    for reading in readings(text):
+        for at in range(len(reading) - k + 1):
+            window = reading[at : at + k]
+            if 2 * sum(kind == LITERAL for kind, _ in window) >= k:
+                said = tuple((kind, form if kind == LITERAL else "") for kind, form in window)
+                out[said].add((at, tuple((at + j, form) for j, (kind, form) in enumerate(window) if kind == NAME)))
+            else:
+                out[tuple(form for _, form in window)].add((at, ()))
     return out
 
 
+def covered(met):
+    """Places of the item on a diagonal, after every name is bound to the one that stands for it most often."""
+    votes = Counter((x, y) for _, x, y in {p for _, pairs in met for p in pairs})
+    name = {x: max((n, y == x, y) for (z, y), n in votes.items() if z == x)[2] for x, _ in votes}
+    return {at for at, pairs in met if all(name[x] == y for _, x, y in pairs)}
+
+
 def brute(docs, items):
     out = set()
     for item_id, item in items:
-        i = template(item)
-        k = min(WINDOW, len(i))
+        n = len(readings(item)[0])
+        k = min(WINDOW, n)
+        if not k:
+            continue
+        of_item = windows(item, k)
         for doc_id, text in docs:
-            d, covered = template(text), set()
-            for diagonal in range(-len(i), len(d)) if k else ():
-                places, pairs = set(), set()
-                for at in range(len(i) - k + 1):
-                    if not 0 <= at + diagonal <= len(d) - k:
-                        continue
-                    a, b = i[at : at + k], d[at + diagonal : at + diagonal + k]
-                    literals = [x for x in a if x[0] == LITERAL]
-                    if 2 * len(literals) >= k and all(x[0] == y[0] and (x[0] != LITERAL or x == y) for x, y in zip(a, b)):
-                        places |= set(range(at, at + k))
-                        pairs |= {(x[1], y[1]) for x, y in zip(a, b) if x[0] != LITERAL}
-                if len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}):
-                    covered |= places
-            if covered and 100 * len(covered) >= 50 * len(i):
-                out.add((doc_id, item_id, len(covered)))
+            diagonals = defaultdict(list)
+            for said, places in windows(text, k).items():
+                for (at, names), (there, others) in itertools.product(of_item.get(said, ()), places):
+                    diagonals[there - at].append((at, [(place, x, y) for (place, x), (_, y) in zip(names, others)]))
+            places = {at + j for met in diagonals.values() for at in covered(met) for j in range(k)}
+            if places and 100 * len(places) >= 50 * n:
+                out.add((doc_id, item_id, len(places)))
     return out
 
 
@@ -80,7 +101,7 @@ def test_reparameterised_items_are_found(spark, sent):
     got = {(r.doc_id, r.item_id, r.covered_words) for r in contaminated(d, i, sent=sent).collect()}
     assert got == brute(docs, items)
     found = {(a, b) for a, b, _ in got}
-    assert {(1, 10), (2, 10), (7, 12)} <= found and not {a for a, _ in found} & {3, 4, 5}
+    assert {(1, 10), (2, 10), (3, 10), (7, 12)} <= found and not {a for a, _ in found} & {4, 5}
 
 
 def found_in(spark, items, docs):
