@@ -12,13 +12,16 @@ Ids are 16 bits wide when the vocabulary allows it. Files are written under a na
 task that runs again replaces its files by equal ones. A null or empty text has the end id only; rows without a doc_id
 come first; rows of one doc_id are documents of their own, next to each other.
 
-A word is encoded once in a batch: this tokenizer drops white space, so the ids of a text are those of its words, special
-tokens that stand in a text included.
+This tokenizer drops white space, so the ids of a text are those of its words, special tokens that stand in a text
+included; and it cuts words between letters and marks, so the ids of letters with marks around them are those of the marks and
+of the letters, in lower case. The last id of such a part, and no other, stands for a piece with a word's end. Ids of words and parts are kept for the worker's next texts; when there
+are ``CACHED``, those that were not used lately go.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,13 +34,19 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.merge_dropout import spread
 from graphloom.llm.tables import cut, in_arrow, partitions, utf8
-from graphloom.llm.words import WordHasher, slices, worker_state
+from graphloom.llm.words import WordHasher, give_back, slices, worker_state
 from graphloom.scratch import new_path
 
 LENGTH, END_ID = 2048, 1
+LONG = 64  # bytes of the longest part that is kept
 BATCH = 256  # sequences in a record batch
 SHARD_BYTES = 64 << 20  # of text
-CACHED_WORDS = 500_000
+CACHED = 200_000  # words and parts, of 200 bytes or so with their ids
+#: marks, letters to U+00FF and marks; without the quote, which may begin a contraction
+_MARKS, _LETTERS = rb"[!-&(-/:-@\[-`{-~]", rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+SIMPLE = re.compile(rb"(%b*)(%b)(%b*)" % (_MARKS, _LETTERS, _MARKS))
+PLAIN = re.compile(rb"%b+|%b" % (_MARKS, _LETTERS))
+TOGETHER = 100  # parts in a call of the tokenizer
 
 
 def default_tokenizer() -> str:
@@ -55,8 +64,15 @@ class WordTokenizer:
 
         state = worker_state("tokenizers")
         if file not in state:
-            state[file] = Tokenizer.from_file(file), {}
-        self.tokenizer, self.known = state[file]
+            tokenizer = Tokenizer.from_file(file)
+            suffix = tokenizer.model.end_of_word_suffix
+            closes = None  # whether an id ends a piece, where the vocabulary tells
+            if suffix:
+                closes = np.zeros(tokenizer.get_vocab_size(), bool)
+                closes[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            state[file] = tokenizer, closes, {}, {}
+            give_back()
+        self.state, self.file, self.tokenizer = state, file, state[file][0]
         self.hasher = WordHasher()
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
@@ -64,19 +80,50 @@ class WordTokenizer:
         """Ids of all texts, and where each text's begin."""
         found = self.hasher(texts)
         _, index, inverse = np.unique(found.hashes, return_index=True, return_inverse=True)
-        words = [found.buf[a:b] for a, b in zip(found.starts[index].tolist(), found.ends[index].tolist())]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for lo in range(0, len(new), 1000):
-            self._encode(new[lo : lo + 1000])
-        out = [self.known[w] for w in words]
+        out = self._ids([found.buf[a:b] for a, b in zip(found.starts[index].tolist(), found.ends[index].tolist())])
         size = np.fromiter(map(len, out), np.int64, len(out)) // np.dtype(self.kind).itemsize
         ids, begin = spread(np.frombuffer(b"".join(out), self.kind), size, inverse)
         return ids, begin[found.first]
 
-
-    def _encode(self, words: list[bytes]) -> None:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. Of two generations of known words, those that are used again move to the younger."""
+        _, closes, young, old = self.state[self.file]
+        out = list(map(young.get, words))
+        again = [i for i, ids in enumerate(out) if ids is None]
+        absent = []
+        for i in again:
+            ids = old.get(words[i])
+            if ids is None:
+                absent.append(i)
+            else:
+                out[i] = young[words[i]] = ids
+        parts = [_parts(words[i]) if closes is not None else [words[i]] for i in absent]
+        new = {p for some in parts for p in some}
+        made = {p: ids for p in new if (ids := young.get(p, old.get(p))) is not None}
+        new -= made.keys()
+        odd = [p for p in new if closes is None or not PLAIN.fullmatch(p)]
+        for encode, some in ((self._encode_closed, list(new.difference(odd))), (self._encode, odd)):
+            for lo in range(0, len(some), TOGETHER):
+                made |= encode(some[lo : lo + TOGETHER])
+        for i, some in zip(absent, parts):
+            out[i] = made[some[0]] if len(some) == 1 else b"".join([made[p] for p in some])
+            if len(words[i]) <= LONG:
+                young[words[i]] = out[i]
+        young |= {p: ids for p, ids in made.items() if len(p) <= LONG}
+        if len(young) > CACHED // 2:
+            self.state[self.file] = self.tokenizer, closes, {}, young
+        return out
+
+    def _encode_closed(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct parts of one kind of characters, each of which ends where an id with a word's end does."""
+        closes = self.state[self.file][1]
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+        edges = [0, *(np.flatnonzero(closes[ids]) + 1).tolist()]
+        if len(edges) != len(words) + 1:
+            return self._encode(words)
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, edges[:-1], edges[1:])}
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of distinct words, as one text, for a call has a price of its own; a token belongs to the word where it begins."""
         texts = [w.decode() for w in words]
         encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
@@ -84,8 +131,16 @@ class WordTokenizer:
         begin = np.fromiter((o[0] for o in encoded.offsets), np.int64, len(encoded))
         edges = np.searchsorted(np.searchsorted(ends, begin, "right"), np.arange(len(words) + 1)).tolist()
         ids = np.array(encoded.ids, self.kind)
-        for w, a, b in zip(words, edges[:-1], edges[1:]):
-            self.known[w] = ids[a:b].tobytes()
+        return {w: ids[a:b].tobytes() for w, a, b in zip(words, edges[:-1], edges[1:])}
+
+
+def _parts(word: bytes) -> list[bytes]:
+    """Parts of a word whose ids make up the word's."""
+    simple = SIMPLE.fullmatch(word)
+    if simple is None or b"<|" in word:
+        return [word]
+    before, letters, after = simple.groups()
+    return [p for p in (before, letters.lower(), after) if p]
 
 
 def schema(kind: type, length: int) -> pa.Schema:
@@ -202,7 +257,9 @@ def write_sequences(docs: DataFrame, folder: str, file: str | None = None, lengt
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_tokens": [writer.written]})
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8())
-    placed = picked.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, or of none, may fill several shards
+    keyed = picked.withColumn("tie", F.xxhash64("text"))
+    placed = keyed.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     return cut(in_arrow(placed, run, "shard int, n_docs long, n_tokens long"), "shards")
 
 

@@ -272,6 +272,36 @@ def _links_to_hubs(docs: DataFrame, one: DataFrame, members: DataFrame, hubs: Da
     return cut(in_arrow(_tasks(texts, ["a", "go"]), _spokes(percent), "a long, b long"), "links")
 
 
+def _links_across(docs: DataFrame, one: DataFrame, members: DataFrame, labels: DataFrame, least: float, percent: int) -> DataFrame | None:
+    """Links between the components that members of one bucket are in; None if all buckets are settled."""
+    # buckets of several components, in blocks
+    of = labels.select(F.col("id").alias("doc_id"), "component")
+    parted = cut(members.where("n > 2").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parted")
+    several = parted.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    open_ = cut(parted.join(cut(several, "open"), "bucket"), "open-members")
+    forget(parted)
+    if open_.isEmpty():
+        return None
+    dealt = open_.withColumn("blocks", F.ceil(F.col("n") / MEMBERS)).drop("n")
+    coded = _in_blocks(dealt.join(one.select("doc_id", "code"), "doc_id"), "bucket", "blocks")
+    met_codes = _tasks(coded.select("bucket", "lo", "hi", "own", "component", "code"), ["bucket", "lo", "hi"])
+    near = cut(in_arrow(met_codes, _similar_codes(least), "a long, b long"), "near")
+    if near.isEmpty():
+        return None
+    loose = components(near).select(F.col("id").alias("component"), F.col("component").alias("loose"))
+
+    # full sets of those, in blocks
+    grouped = open_.select("doc_id", "component").distinct().join(loose, "component").join(one.select("doc_id", "n_shingles"), "doc_id")
+    grouped = cut(grouped, "grouped")
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") / SHINGLES, F.count(F.lit(1)) / MEMBERS)).alias("blocks")
+    blocks = cut(grouped.groupBy("loose").agg(blocks), "blocks")
+    wanted = cut(grouped.join(blocks, "loose").select("doc_id", "component", "loose", "blocks").distinct(), "wanted")
+    placed = _in_blocks(_texts(docs).join(small(wanted, BROADCAST_ROWS), "doc_id"), "loose", "blocks").select("loose", "lo", "hi", "own", "component", "text")
+    more = cut(in_arrow(_tasks(placed, ["loose", "lo", "hi"]), _linked_sets(percent), "a long, b long"), "more-links")
+    forget(open_, near, grouped, blocks, wanted)
+    return None if more.isEmpty() else more
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs(doc_id, text)``.
 
@@ -293,30 +323,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     hubs = cut(heaviest.select("bucket", (-F.col("hub.back")).alias("a")), "hubs")
     least = percent / 100 - MARGIN
     links = _links_to_hubs(docs, one, members, hubs, least, percent)
-    labels_of_links = components(links)
-
-    # buckets of several components, in blocks
-    of = labels_of_links.select(F.col("id").alias("doc_id"), "component")
-    parted = cut(members.where("n > 2").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "parted")
-    several = parted.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    open_ = cut(parted.join(cut(several, "open"), "bucket"), "open-members").withColumn("blocks", F.ceil(F.col("n") / MEMBERS)).drop("n")
-    coded = _in_blocks(open_.join(one.select("doc_id", "code"), "doc_id"), "bucket", "blocks")
-    met_codes = _tasks(coded.select("bucket", "lo", "hi", "own", "component", "code"), ["bucket", "lo", "hi"])
-    loose = components(in_arrow(met_codes, _similar_codes(least), "a long, b long")).select(F.col("id").alias("component"), F.col("component").alias("loose"))
-
-    # full sets of those, in blocks
-    grouped = open_.select("doc_id", "component").distinct().join(loose, "component").join(one.select("doc_id", "n_shingles"), "doc_id")
-    grouped = cut(grouped, "grouped")
-    blocks = F.ceil(F.greatest(F.sum("n_shingles") / SHINGLES, F.count(F.lit(1)) / MEMBERS)).alias("blocks")
-    blocks = cut(grouped.groupBy("loose").agg(blocks), "blocks")
-    wanted = cut(grouped.join(blocks, "loose").select("doc_id", "component", "loose", "blocks").distinct(), "wanted")
-    placed = _in_blocks(_texts(docs).join(small(wanted, BROADCAST_ROWS), "doc_id"), "loose", "blocks").select("loose", "lo", "hi", "own", "component", "text")
-    more = cut(in_arrow(_tasks(placed, ["loose", "lo", "hi"]), _linked_sets(percent), "a long, b long"), "more-links")
-    found = components(links.union(more))
+    found = components(links)
+    more = _links_across(docs, one, members, found, least, percent)
+    if more is not None:
+        links = cut(links.union(more), "all-links")
+        found = components(links)
 
     labels = one.select("digest", F.col("doc_id").alias("id")).join(found, "id", "left")
     of_class = cut(labels.select("digest", F.coalesce("component", "id").alias("component_id")), "component")
-    forget(classes, members, weights, hubs, parted, grouped, blocks, wanted, more, links, found, labels_of_links)
+    forget(classes, members, weights, hubs, links, found)
     out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

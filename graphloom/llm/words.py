@@ -137,13 +137,18 @@ def worker_state(name: str) -> dict:
     if name not in states:
         states.clear()
         states[name] = {}
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library gives it back by itself
+        give_back()
     return states[name]
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library gives it back by itself
+
+
 def checksum(numbers: np.ndarray) -> bytes:
     """128 bits that tell sorted sets of 64-bit numbers apart."""
     index = np.arange(1, len(numbers) + 1, dtype=U64)
