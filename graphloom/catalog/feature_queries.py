@@ -482,12 +482,18 @@ def _(spark, d):
 @query(
     "attention_bias",
     with_(NATION_SQL)
-    + """SELECT subgraph_id, src, dst, -1e9::DOUBLE AS bias FROM nation_edges
-      WHERE w % 2 = 1 UNION ALL SELECT subgraph_id, src, dst, 0.0::DOUBLE FROM nation_edges WHERE w % 2 = 0""",
+    + """, even AS (SELECT subgraph_id, src, dst FROM nation_edges WHERE w % 2 = 0),
+    hop AS (SELECT * FROM even UNION SELECT subgraph_id, dst, src FROM even
+      UNION SELECT subgraph_id, src, src FROM even UNION SELECT subgraph_id, dst, dst FROM even),
+    there AS (SELECT DISTINCT a.subgraph_id, a.src, c.dst FROM hop a JOIN hop b ON a.subgraph_id = b.subgraph_id AND a.dst = b.src
+      JOIN hop c ON b.subgraph_id = c.subgraph_id AND b.dst = c.src)
+    SELECT e.subgraph_id, e.src, e.dst, CASE WHEN t.src IS NULL THEN -1e9::DOUBLE ELSE 0.0::DOUBLE END AS bias
+    FROM nation_edges e LEFT JOIN there t ON t.subgraph_id = e.subgraph_id AND t.src = e.src AND t.dst = e.dst""",
 )
 def _(spark, d):
+    # every edge, by the edges of even weight
     edges = nation_edges(spark, d)
-    return X.attention_bias(edges.select(*SUB, "src", "dst"), edges.filter("w % 2 = 0"), SUB)
+    return X.attention_bias(edges.select(*SUB, "src", "dst"), E.both_directions(edges.filter("w % 2 = 0")), 3, SUB)
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars
 from graphloom.operators.edges import add_self_loops, distinct_nodes, sum_duplicate_edges
 from graphloom.operators.ordering import hash_key, rank_rows
-from graphloom.scratch import Loop, per_key
+from graphloom.scratch import Loop, cut, per_key
 
 
 def _gather(long: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -143,11 +143,41 @@ def khop_pairs(edges: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return reached
 
 
-def attention_bias(pairs_of_interest: DataFrame, reachable: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """0 for a reachable pair, -1e9 otherwise, for the pairs asked for."""
-    found = reachable.select(*by, "src", "dst", F.lit(True).alias("_found"))
+def _frontier(starts: DataFrame, arcs: DataFrame, steps: int, by: list[str]) -> DataFrame:
+    """``(by, start, mid)``: the nodes that each start reaches in at most so many steps, itself included."""
+    reached = starts.select(*by, "start", F.col("start").alias("mid"))
+    loop = Loop("frontier")
+    onward = arcs.select(*by, F.col("src").alias("mid"), F.col("dst").alias("_next"))
+    for _ in range(steps):
+        step = reached.join(onward, [*by, "mid"]).select(*by, "start", F.col("_next").alias("mid"))
+        reached = loop.step(reached.union(step).distinct())
+    return reached
+
+
+def reachable_pairs(pairs: DataFrame, edges: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Those of the distinct ``pairs(by, src, dst)`` whose dst can be reached in at most ``k`` steps.
+
+    Only the pairs asked for are followed, half of the steps from their first ends and half back from their second ends, until
+    the two sets meet. A hub is then a middle of its neighbours, not a pair with each of them for every other.
+    """
+    by = list(by)
+    arcs = cut(edges.filter("w <> 0").select(*by, "src", "dst").distinct(), "hop-arcs")
+    nodes = distinct_nodes(edges, by)
+    asked = pairs.select(*by, "src", "dst").distinct()
+    back = arcs.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ends = []
+    for end, way, steps in (("src", arcs, k - k // 2), ("dst", back, k // 2)):
+        starts = asked.select(*by, F.col(end).alias("id")).distinct().join(nodes, [*by, "id"], "left_semi")
+        ends.append(_frontier(starts.withColumnRenamed("id", "start"), way, steps, by))
+    there = asked.join(ends[0].withColumnRenamed("start", "src"), [*by, "src"])
+    return there.join(ends[1].withColumnRenamed("start", "dst"), [*by, "dst", "mid"], "left_semi").select(*by, "src", "dst").distinct()
+
+
+def attention_bias(pairs: DataFrame, edges: DataFrame, k: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """0 for a pair within ``k`` steps of ``edges``, -1e9 otherwise, for the pairs asked for."""
+    found = reachable_pairs(pairs, edges, k, by).withColumn("_found", F.lit(True))
     bias = F.when(F.col("_found"), 0.0).otherwise(-1e9)
-    return pairs_of_interest.join(found, [*by, "src", "dst"], "left").withColumn("bias", bias).drop("_found")
+    return pairs.join(found, [*by, "src", "dst"], "left").withColumn("bias", bias).drop("_found")
 
 
 # ---- group summaries

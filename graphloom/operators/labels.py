@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.edges import label_sizes
+from graphloom.operators.placed import PlacedEdges
 from graphloom.scratch import per_key
 
 SCORE_DIGITS = 9  # scores are rounded before ranking, so ties do not depend on the order of sums
@@ -48,7 +49,23 @@ def update_labels(state: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
-def lp_iteration(edges: DataFrame, labels: DataFrame, cap: int) -> DataFrame:
+def lp_iteration(edges: DataFrame | PlacedEdges, labels: DataFrame, cap: int) -> DataFrame:
     """One synchronous step: sizes are those before the step, so the cap is soft."""
     state = label_state(labels, cap)
-    return update_labels(state, argmax_label(label_scores(send_labels(edges, state))))
+    return take_best(state, label_scores(messages(edges, state)))
+
+
+def messages(edges: DataFrame | PlacedEdges, state: DataFrame) -> DataFrame:
+    if isinstance(edges, DataFrame):
+        return send_labels(edges, state)
+    return edges.meet(state).select(F.col("src").alias("id"), "label", "frozen", "size", "w")
+
+
+def take_best(state: DataFrame, scores: DataFrame) -> DataFrame:
+    """``argmax_label`` and ``update_labels`` in one aggregation, in which a node's scores and its own row meet."""
+    ranked = F.struct(F.round("score", SCORE_DIGITS).alias("score"), (-F.col("label")).alias("label"))
+    heard = scores.select("id", ranked.alias("best"), F.lit(None).cast(state.schema["label"].dataType).alias("own"), F.lit(False).alias("frozen"))
+    own = state.select("id", F.lit(None).cast(heard.schema["best"].dataType).alias("best"), F.col("label").alias("own"), "frozen")
+    met = heard.unionByName(own).groupBy("id").agg(F.max("best").alias("best"), F.max("own").alias("own"), F.bool_or("frozen").alias("frozen"))
+    stay = F.col("frozen") | F.col("best").isNull()
+    return met.where("own is not null").select("id", F.when(stay, F.col("own")).otherwise(-F.col("best.label")).alias("label"))

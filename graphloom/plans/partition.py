@@ -21,8 +21,9 @@ from graphloom.operators.edges import (
 from graphloom.operators import labels as steps
 from graphloom.operators.labels import SCORE_DIGITS, lp_iteration
 from graphloom.operators.ordering import prefix_sum, rank_rows
+from graphloom.operators.placed import PlacedEdges, place_edges
 from graphloom.operators.sampling import Draw, edge_draw, sample_edges
-from graphloom.scratch import Loop, cut, new_path, per_key, settled
+from graphloom.scratch import Loop, cut, new_path, per_key
 
 
 def size_cap(n_nodes: int, k: int) -> int:
@@ -31,7 +32,7 @@ def size_cap(n_nodes: int, k: int) -> int:
 
 
 def label_propagation(
-    edges: DataFrame,
+    edges: DataFrame | PlacedEdges,
     k: int,
     iterations: int = 3,
     labels: DataFrame | None = None,
@@ -43,11 +44,13 @@ def label_propagation(
     endpoint) is in the result.
     """
     loop = Loop("labels")
-    edges = settled(edges, "lp-edges")
-    labels = loop.step(init_labels(edges) if labels is None else labels)
+    placed = place_edges(edges.select("src", "dst", "w"), "dst") if isinstance(edges, DataFrame) else edges
+    labels = loop.step(init_labels(placed.plain()) if labels is None else labels)
     cap = size_cap(labels.count(), k) if cap is None else cap
     for _ in range(iterations):
-        labels = loop.step(lp_iteration(edges, labels, cap))
+        labels = loop.step(lp_iteration(placed, labels, cap))
+    if placed is not edges:
+        placed.release()
     return labels
 
 
@@ -86,10 +89,12 @@ def coarsen(
     path = levels_path or new_path(spark, "levels")
     graph = edges.select("src", "dst", "w")
     members = distinct_nodes(graph)
-    loop = Loop("coarse")
-    weights = None
+    weights, before = None, None
     for r in range(rounds):
-        working = loop.step(sample_edges(graph, nbr_upper, w_ratio, save_ratio, seed + r, draw))
+        working = place_edges(sample_edges(graph, nbr_upper, w_ratio, save_ratio, seed + r, draw).select("src", "dst", "w"), "dst")
+        if before:
+            before.release()
+        before = working
         start = members.select("id", F.col("id").alias("label"))
         if weighted_cap and weights is not None:
             total = weights.agg(F.sum("node_w")).first()[0]
@@ -98,7 +103,7 @@ def coarsen(
             labels = label_propagation(working, k, lp_iterations, labels=start)
         write_level(labels, path, r + 1)
         labels = read_levels(spark, path, r + 1)
-        graph = coarse_edges(working, labels).select("src", "dst", "w")
+        graph = coarse_edges(working.plain(), labels).select("src", "dst", "w")
         members = labels.select(F.col("label").alias("id")).distinct()
         if weighted_cap:
             composed = composed_labels(read_levels(spark, path), r + 1)
@@ -106,10 +111,12 @@ def coarsen(
     final = sample_edges(graph, nbr_upper, w_ratio, save_ratio, seed + rounds, draw)
     levels = read_levels(spark, path)
     nodes = cut(coarse_node_weight(composed_labels(levels, rounds)), "coarse-nodes")
-    return Coarse(cut(symmetrize_max(final), "coarse-edges"), nodes, levels, rounds)
+    coarse = cut(symmetrize_max(final), "coarse-edges")
+    before.release()
+    return Coarse(coarse, nodes, levels, rounds)
 
 
-def _propagate_weighted(edges: DataFrame, labels: DataFrame, weights: DataFrame, cap: int, iterations: int) -> DataFrame:
+def _propagate_weighted(edges: PlacedEdges, labels: DataFrame, weights: DataFrame, cap: int, iterations: int) -> DataFrame:
     """Label propagation whose sizes and cap count original nodes."""
     loop = Loop("labels")
     labels = loop.step(labels)
@@ -118,8 +125,7 @@ def _propagate_weighted(edges: DataFrame, labels: DataFrame, weights: DataFrame,
         sizes = weighed.groupBy("label").agg(F.sum("node_w").alias("size"))
         sizes = per_key(sizes.withColumn("frozen", F.col("size") >= cap), "sizes")
         state = labels.join(sizes, "label").select("id", "label", "frozen", "size")
-        best = steps.argmax_label(steps.label_scores(steps.send_labels(edges, state)))
-        labels = loop.step(steps.update_labels(state, best))
+        labels = loop.step(steps.take_best(state, steps.label_scores(steps.messages(edges, state))))
     return labels
 
 
@@ -174,9 +180,7 @@ def balanced_parts(
     capacity = F.lit(float((1 + slack) * total / k))
     plain = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
     strength = per_key(plain.groupBy("src").agg(F.sum("w").alias("strength")), "strength")
-    arcs = cut(
-        plain.join(strength, "src").select("src", "dst", F.try_divide("w", "strength").alias("share")), "cut-arcs"
-    )
+    arcs = place_edges(plain.join(strength, "src").select("src", "dst", F.try_divide("w", "strength").alias("share")), "dst")
     state = cut(snake_start(nodes, k), "parts")
     best, best_score, stale = state, None, 0
     for sweep in range(sweeps + 1):
@@ -184,7 +188,7 @@ def balanced_parts(
         # a node hears the parts of its neighbours, and its own part even without a neighbour there
         own = state.select("id", "part", F.lit(0.0).alias("share"), F.lit(1).alias("own"), "node_w")
         heard = (
-            arcs.join(state.select(F.col("id").alias("dst"), "part"), "dst")
+            arcs.meet(state.select("id", "part"))
             .select(F.col("src").alias("id"), "part", "share", F.lit(0).alias("own"), F.lit(0).cast("bigint").alias("node_w"))
             .unionByName(own)
             .groupBy("id", "part")
@@ -222,6 +226,7 @@ def balanced_parts(
         state = wishes.join(per_key(_admission(wishes, capacity), "admission"), ["part", "wish"], "left").select(
             "id", "node_w", F.when(moves, F.col("wish")).otherwise(F.col("part")).alias("part")
         )
+    arcs.release()
     return best
 
 

@@ -72,6 +72,26 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str = "bucketed") -> DataFrame:
+    """``df`` written in as many buckets of ``keys`` as a shuffle has partitions, so that joins and aggregations by them need no shuffle of it."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, table = new_path(spark, name), f"graphloom_{name}_{uuid.uuid4().hex}"
+    # dealt by the buckets' own hash, so each task writes one file
+    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+    dealt.format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._is_cut, out._bucketed = True, (table, path)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table made by ``bucketed``."""
+    table, path = df._bucketed
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_path(df.sparkSession, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -11,6 +11,7 @@ from graphloom.operators import labels as L
 from graphloom.operators import sampling as S
 from graphloom.plans import partition as G
 from graphloom.plans import prune as R
+from graphloom.scratch import cut
 
 
 def graph(spark, pairs, both=True):
@@ -251,3 +252,37 @@ def test_subgraph_sampling(spark, rows):
     assert [n for n, _ in drawn] == list(range(20))
     once = rows(S.sample_subgraphs(ids, 0.5, seed=2, replace=False))
     assert len({s for _, s in once}) == 20
+
+
+# ---- edges that stay
+
+
+def test_only_the_state_is_shuffled(spark):
+    from graphloom.operators.placed import place_edges
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = graph(spark, TWO_TRIANGLES)
+        placed = place_edges(edges, "dst")
+        state = cut(edges.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+        met = placed.meet(state)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Bucketed: true" in plan, plan
+        assert met.count() == edges.count()
+        placed.release()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("hub", [1, 3])
+def test_hubs_are_dealt_over_buckets(spark, rows, hub):
+    from graphloom.operators.placed import place_edges
+
+    star = [(0, i, 1.0 + i % 3) for i in range(1, 12)] + TWO_TRIANGLES
+    edges = graph(spark, star)
+    placed = place_edges(edges, "dst", hub=hub)
+    assert placed.hubs is not None and placed.edges.where("_salt > 0").count() > 0
+    assert rows(placed.plain().select("src", "dst", "w")) == rows(edges.select("src", "dst", "w"))
+    want = rows(G.label_propagation(edges, k=2, iterations=3), "id", "label")
+    assert rows(G.label_propagation(placed, k=2, iterations=3), "id", "label") == want
+    placed.release()

@@ -114,6 +114,28 @@ def test_top_k_similar_is_exact_over_blocks(spark, block_rows):
         assert [o for _, o, _ in sorted(got.get(i, []))] == [j for _, j in want]
 
 
+def test_clustered_vectors_spare_most_blocks(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(12, 16))
+    data = [(0, i, [float(x) for x in centers[i % 12] + 0.02 * rng.normal(size=16)]) for i in range(2400)]
+    df = spark.createDataFrame(data, "subgraph_id int, id long, vec array<double>")
+    units = df.select("subgraph_id", "id", M.unit_vector("vec").alias("v"))
+    blocked = M._with_blocks(units, SUB, 100)
+    block = ["subgraph_id", "cell", "part"]
+    blocked = blocked.transform(M.cut)
+    own = blocked.select(*block, F.col("cell").alias("other_cell"), F.col("part").alias("other_part"), "id", "v")
+    first = M._best_between(own, own, block, 3)
+    blocks = blocked.select(*block).distinct().count()
+    sent = M._sent(blocked, first, SUB, 3).count()
+    assert blocks >= 24 and sent < 0.35 * 2400 * (blocks - 1)
+    got = {r["id"]: r["other"] for r in M.top_k_similar(df, 3, block_rows=100).where("rank = 1").collect()}
+    x = np.array([v for _, _, v in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(x @ x.T, 9)
+    np.fill_diagonal(sims, -2)
+    assert got == {i: int(j) for i, j in enumerate(sims.argmax(axis=1))}
+
+
 def test_string_ids_without_groups(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "id string, vec array<double>")
     got = {r["id"]: r["other"] for r in M.top_k_similar(df, 1, by=()).collect()}
@@ -409,3 +431,27 @@ def test_sums_of_vectors(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
     assert sum_vectors(rows.where("false"), ["g"], "x").count() == 0
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 3, 5])
+def test_pairs_within_reach_by_breadth_first_search(spark, rows, k):
+    rng = random.Random(k)
+    arcs = [("ab"[rng.randrange(2)], rng.randrange(12), rng.randrange(12), float(rng.randrange(3))) for _ in range(30)]
+    pairs = [(g, a, b) for g in "ab" for a in range(13) for b in range(0, 13, 2)]
+    edges = spark.createDataFrame(arcs, "g string, src int, dst int, w double")
+    want = []
+    for g, a, b in pairs:
+        seen = {a} if any(a in arc[1:3] and arc[0] == g for arc in arcs) else set()
+        for _ in range(k):
+            seen |= {y for h, x, y, w in arcs if h == g and x in seen and w}
+        if b in seen:
+            want.append((g, a, b))
+    asked = spark.createDataFrame(pairs + pairs[:9], "g string, src int, dst int")
+    assert rows(X.reachable_pairs(asked, edges, k, ["g"])) == sorted(want)
+
+
+def test_a_hub_does_not_pair_its_neighbours(spark):
+    spokes = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    pairs = spark.range(1, 2001).select(F.col("id").alias("src"), (100_002 - F.col("id")).alias("dst"))
+    bias = X.attention_bias(pairs, E.both_directions(spokes), 2)
+    assert bias.where("bias = 0").count() == 1999 and bias.count() == 2000  # one dst is no node
