@@ -9,9 +9,12 @@ if c(h w) > 0. Where there is no such arc, the failure arc to h' is taken at the
 from left to right, the automaton is in the state of the words last read and adds the logarithms on its way.
 
 Counts of a large corpus fit in no task, so the automaton is spread out. Documents are read in blocks of some hundred thousand
-tokens. A block sends its distinct n-grams and their training counts to the parts of the key space, one row a part; a
-part adds up and answers with the total counts; the block then has the counts of all n-grams of its own texts, and the
-weights are worked out order by order for all its tokens at once, without states, arcs or a carried state. So a frequent n-gram costs a part one entry a block, and nothing is broadcast.
+tokens. A block sends its distinct n-grams and their training counts to the parts of the key space, one row for each part that it has
+any of; a part adds up and answers with the total counts. From these the block builds the part of the automaton that its own texts can
+reach: arrays of states, failure arcs and arcs. All its texts are then read at once, a token a step, each with the state that it is in.
+A text of more than ``SEGMENT`` tokens is read in segments; one that does not begin a text starts at the root, ``order - 1`` tokens early, after
+which it is in the state that a reader of the whole text is in, because a state holds no more words than that.
+So a frequent n-gram costs a part one entry a block, and nothing is broadcast.
 
 The blocks are formed twice from the input, once for what they ask and once for the texts. The input must come in the same
 order both times, as tables do; if it does not, an error is raised.
@@ -37,6 +40,7 @@ MASS = 100.0
 FOLDS = 10  # one of them is held out
 BLOCK_TOKENS = 400_000
 PART_BYTES = 8 << 20  # of text to a part of the key space
+SEGMENT = 512  # tokens of a text that one reader reads
 START, END = U64(0x5354415254), U64(0x454E44)  # in place of a word's number
 BASE = U64(0x9E3779B97F4A7C15)
 
@@ -83,32 +87,89 @@ class Block:
 
 
 class Automaton:
-    """The states and arcs that a block can reach, from the total counts of its keys."""
+    """The states and arcs that a block can reach, from the total counts of its keys.
+
+    The states are the block's n-grams, which are contexts, then those of a text's beginning, and last the root.
+    """
 
     def __init__(self, block: Block, totals: np.ndarray, n_tokens: int, n_words: int, mass: float):
-        self.block, self.totals, self.mass = block, totals.astype(np.float64), mass
-        self.smooth = n_tokens + 0.1 * (n_words + 1)
+        self.block, self.order = block, len(block.where)
+        grams, top, count = len(totals), self.order - 1, totals.astype(np.float64)
+        self.root, self.words = grams + top, block.where[0]
+        level = (block.keys & U64(3)).astype(np.int64)
+        # a place where each n-gram stands
+        place = np.empty(grams, np.int64)
+        for k in range(self.order):
+            place[block.where[k]] = np.arange(len(block.tokens))
+        shorter = block.where[np.maximum(level - 1, 0), place]
+        begins = np.zeros(len(block.tokens), bool)
+        begins[block.first] = True
+        before = block.where[np.maximum(level - 1, 0), np.maximum(place - 1, 0)]
+        source = np.where(level == 0, self.root, np.where(begins[place], grams + level - 1, before))
+        # texts of the training set, which is how often a beginning was seen
+        texts = count[self.words[block.first + block.lengths - 1][0]] if len(block.first) else 0.0
+        size = np.concatenate([count, np.full(top, texts), [0.0]])
+        self.failure = np.concatenate([np.where(level == 0, self.root, shorter), [self.root] * min(top, 1), grams + np.arange(max(top - 1, 0)), [self.root]]).astype(np.int64)
+        self.price = np.log10(mass / (size + mass))
+        weight = np.log10((count + 0.1) / (n_tokens + 0.1 * (n_words + 1)))
+        self.at_root = weight.copy()
+        for k in range(1, self.order):
+            of = np.flatnonzero((level == k) & (count > 0))
+            weight[of] = np.log10((count[of] + mass * 10.0 ** weight[shorter[of]]) / (size[source[of]] + mass))
+        # after an arc, the automaton is in the longest context that it has for the words read
+        to = np.where(level < top, np.arange(grams), shorter if top else self.root)
+        to = np.where(count > 0, to, self.root)
+        arcs = np.flatnonzero((count > 0) | (level == 0))
+        key = source[arcs] * np.int64(grams) + self.words[place[arcs]]
+        order = np.argsort(key)
+        self.key, arcs = key[order], arcs[order]
+        self.weight, self.to = weight[arcs], to[arcs]
+        self.count = count
+
+    def read(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a word, and the logarithms on the way: failure arcs until there is an arc, and that."""
+        after, paid = np.empty_like(state), np.zeros(len(state))
+        waiting = np.arange(len(state))
+        while len(waiting):
+            key = state[waiting] * np.int64(len(self.count)) + word[waiting]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            there = self.key[at] == key
+            done, at = waiting[there], at[there]
+            paid[done] += self.weight[at]
+            after[done] = self.to[at]
+            waiting = waiting[~there]
+            paid[waiting] += self.price[state[waiting]]
+            state = state.copy()
+            state[waiting] = self.failure[state[waiting]]
+        return after, paid
 
     def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each document: known tokens, log10 probability at the root only, and log10 probability on the way through the states."""
         block = self.block
-        count = self.totals[block.where[0]]
-        root = np.log10((count + 0.1) / self.smooth)
-        ends = count[block.first + block.lengths - 1][0] if len(block.first) else 0.0  # training documents
-        weight, known = root, count > 0
-        context = block.shifted(count, ends)
-        for level in range(1, len(block.where)):
-            gram = self.totals[block.where[level]]
-            arc = np.log10((gram + self.mass * 10.0**weight) / (context + self.mass))
-            failure = np.log10(self.mass / (context + self.mass)) + weight
-            weight = np.where(gram > 0, arc, failure)
-            context = block.shifted(gram, ends)
         if not len(block.first):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        pieces = -(-block.lengths // SEGMENT)
+        of = np.repeat(np.arange(len(pieces)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = block.first[of] + nth * SEGMENT
+        end = np.minimum(begin + SEGMENT, block.first[of] + block.lengths[of])
+        early = np.where(nth == 0, begin, np.maximum(begin - (self.order - 1), block.first[of]))
+        state = np.where(early == block.first[of], self.root - (self.order > 1), self.root)
+        longest = np.argsort(early - end, kind="stable")
+        begin, end, early, state = (x[longest] for x in (begin, end, early, state))
+        weight = np.zeros(len(block.tokens))
+        length = end - early
+        for step in range(int(length.max())):
+            live = int(np.searchsorted(-length, -step, "left"))
+            at = early[:live] + step
+            state[:live], paid = self.read(state[:live], self.words[at])
+            own = at >= begin[:live]
+            weight[at[own]] = paid[own]
 
         def by_document(x: np.ndarray, kind: type) -> np.ndarray:
             return np.add.reduceat(x.astype(kind), block.first)
 
+        known, root = self.count[self.words] > 0, self.at_root[self.words]
         return by_document(known, np.int64), by_document(root, np.longdouble).astype(float), by_document(weight, np.longdouble).astype(float)
 
 
@@ -149,15 +210,15 @@ def _ask(order: int, size: int, parts: int):
             block = Block(ids, lengths, tokens, order)
             counts = block.training_counts()
             edges = np.searchsorted(block.keys, _edges(parts))
-            out = [(block.keys[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            for lo in range(0, parts, 64):  # few rows at a time, as they are large
+            out = [(part, block.keys[a:b], counts[a:b]) for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+            for lo in range(0, len(out), 64):  # few rows at a time, as they are large
                 some = out[lo : lo + 64]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(some)),
-                        pa.array(range(lo, lo + len(some)), pa.int32()),
-                        pa.array([planes(np.diff(k, prepend=U64(0))) for k, _ in some], pa.binary()),
-                        pa.array([planes(c) for _, c in some], pa.binary()),
+                        pa.array([part for part, _, _ in some], pa.int32()),
+                        pa.array([planes(np.diff(k, prepend=U64(0))) for _, k, _ in some], pa.binary()),
+                        pa.array([planes(c) for _, _, c in some], pa.binary()),
                     ],
                     ["block", "part", "keys", "counts"],
                 )

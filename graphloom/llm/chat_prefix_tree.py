@@ -4,13 +4,15 @@ A turn is formatted as ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n``. Inside role and
 ``<\\|``, so no control string is left there, and a line feed in a role becomes ``\\n``; ``unescape`` undoes all that. The two
 control strings are ids of their own above the vocabulary of the byte-level tokenizer.
 
-A node of the tree is a turn after all turns before it. Nodes are written in depth-first order: a node's path, eight bytes
-of a digest for each turn, begins with the path of its parent, so the order of the paths is that order, and no tree
-is ever held in one place. Each node has
+A node of the tree is a turn after all turns before it, told by a digest of both. Nodes are written in depth-first order: a node's
+path has eight bytes of the digest of each turn whose predecessor has several successors, so turns that follow each other without
+a branch have one path, and the order of path and step is that order. No tree is ever held in one place, and what a turn carries
+grows with the branches on its way, not with the turns. Each node has
 
 start, n_tokens        its place in the stream of all nodes' ids
 position               the position id of its first token, the number of tokens on the way from the root
-ancestors              the intervals of the stream that its tokens attend to beside those before them in the node
+ancestors              the intervals of the stream that its tokens attend to beside those before them in the node; ancestors
+                       that follow each other in the stream are one interval
 subtree_end            where the intervals of its descendants end
 loss_from, loss_to     the part of its ids under the loss mask: the text of an assistant's turn
 
@@ -29,12 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.tables import cut, forget, partitions
+from graphloom.llm.tables import cut, forget, partitions, small
 from graphloom.llm.words import worker_state
 
 START, END = "<|im_start|>", "<|im_end|>"
 START_ID, END_ID = 50257, 50258
 LOSS_ROLE = "assistant"
+BROADCAST_ROWS = 1_000_000
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -98,29 +101,68 @@ def parse_turn(formatted: str) -> tuple[str, str]:
     return unescape(role), unescape(text)
 
 
+CHAIN = "conv_id long, step long, node binary, parent binary, role string, text string"
+PATH = "node binary, path binary"
+WAY = "node binary, position long, ancestors array<struct<start:long,end:long>>"
+
+
 def chains(conversations: DataFrame) -> DataFrame:
-    """(conv_id, step, node, path, role, text) of every turn; node tells the turn and all before it."""
+    """(conv_id, step, node, parent, role, text) of every turn; node tells the turn and all before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, step, node, path = object(), 0, b"", b""
+        conv, step, node = object(), 0, b""
         for batch in batches:
             out = []
             for conv_id, role, text in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text"))):
                 if conv_id != conv:
-                    conv, step, node, path = conv_id, -1, b"", b""
+                    conv, step, node = conv_id, -1, b""
                 turn = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
-                node = hashlib.sha256(node + turn).digest()[:16]
-                step, path = step + 1, path + node[:8]
-                out.append((step, node, path))
-            steps, nodes, paths = zip(*out) if out else ((), (), ())
-            columns = [batch["conv_id"], pa.array(steps, pa.int32()), pa.array(nodes, pa.binary()), pa.array(paths, pa.binary()), batch["role"], batch["text"]]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "step", "node", "path", "role", "text"])
+                parent, node, step = node, hashlib.sha256(node + turn).digest()[:16], step + 1
+                out.append((step, node, parent))
+            steps, nodes, parents = zip(*out) if out else ((), (), ())
+            columns = [batch["conv_id"], pa.array(steps, pa.int64()), pa.array(nodes, pa.binary()), pa.array(parents, pa.binary()), batch["role"], batch["text"]]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "step", "node", "parent", "role", "text"])
 
     picked = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")]
     )
     placed = picked.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return placed.select("conv_id", "role", "text").mapInArrow(run, "conv_id long, step int, node binary, path binary, role string, text string")
+    return placed.select("conv_id", "role", "text").mapInArrow(run, CHAIN)
+
+
+def _in_order(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the turns of each conversation in order, as a stream."""
+    placed = rows.repartition(partitions(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id", "step")
+    return placed.mapInArrow(run, schema)
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, path = object(), b""
+    for batch in batches:
+        out = []
+        for conv_id, node, is_branch in zip(*(batch[c].to_pylist() for c in ("conv_id", "node", "is_branch"))):
+            if conv_id != conv:
+                conv, path = conv_id, b""
+            if is_branch:
+                path += node[:8]
+            out.append(path)
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(out, pa.binary())], ["node", "path"])
+
+
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, position, spans = object(), 0, []
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        positions, ancestors = [], []
+        for conv_id, start, end in zip(*(batch[c].to_pylist() for c in ("conv_id", "start", "end"))):
+            if conv_id != conv:
+                conv, position, spans = conv_id, 0, []
+            positions.append(position)
+            ancestors.append(spans)
+            position += end - start
+            joins = spans and spans[-1]["end"] == start
+            spans = [*spans[:-1], {"start": spans[-1]["start"], "end": end}] if joins else [*spans, {"start": start, "end": end}]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(positions, pa.int64()), pa.array(ancestors, kind)], ["node", "position", "ancestors"])
 
 
 def _encode(file: str):
@@ -152,8 +194,12 @@ def build_forest(conversations: DataFrame, file: str | None = None) -> tuple[Dat
     """The nodes of all conversations(conv_id, turn, role, text), and the (conv_id, step, node) that lead through them; both written."""
     spark = conversations.sparkSession
     turns = cut(chains(conversations), "turns")
-    distinct = turns.groupBy("node").agg(*[F.min(c).alias(c) for c in ("path", "role", "text")])
-    ordered = distinct.repartitionByRange(partitions(spark), "path").sortWithinPartitions("path").select("node", "role", "text")
+    several = turns.groupBy("parent", "node").agg(F.lit(1).alias("one")).groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = small(cut(several.select("parent", F.lit(True).alias("is_branch")), "branches"), BROADCAST_ROWS)
+    flagged = turns.select("conv_id", "step", "node", "parent").join(several, "parent", "left")
+    paths = _in_order(flagged.select("conv_id", "step", "node", F.coalesce("is_branch", F.lit(False)).alias("is_branch")), _paths, PATH)
+    distinct = turns.groupBy("node").agg(*[F.min(c).alias(c) for c in ("step", "role", "text")]).join(paths.groupBy("node").agg(F.min("path").alias("path")), "node")
+    ordered = distinct.repartitionByRange(partitions(spark), "path", "step").sortWithinPartitions("path", "step").select("node", "role", "text")
     coded = cut(ordered.mapInArrow(_encode(file or default_tokenizer()), "node binary, part int, local long, n_tokens long, ids array<int>, loss_from int, loss_to int"), "coded")
     # one row a part
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -161,18 +207,11 @@ def build_forest(conversations: DataFrame, file: str | None = None) -> tuple[Dat
     placed = coded.join(F.broadcast(offsets), "part").withColumn("start", F.col("local") + F.col("before")).drop("part", "local", "before")
     spans = placed.select("node", "start", (F.col("start") + F.col("n_tokens")).alias("end"))
     steps = cut(turns.select("conv_id", "step", "node").join(spans, "node"), "steps")
-    upward = Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("conv_id")
-    seen = steps.select(
-        "node",
-        F.coalesce(F.sum(F.col("end") - F.col("start")).over(upward), F.lit(0)).alias("position"),
-        F.collect_list(F.struct("start", "end")).over(upward).alias("ancestors"),
-        F.max("end").over(whole).alias("leaf_end"),
-        "conv_id",
-        "step",
-    )
     # all conversations through a node agree on its way from the root
-    facts = seen.groupBy("node").agg(F.min(F.struct("position", "ancestors")).alias("way"), F.max("leaf_end").alias("subtree_end"))
+    ways = _in_order(steps.select("conv_id", "step", "node", "start", "end"), _ways, WAY).groupBy("node").agg(F.min(F.struct("position", "ancestors")).alias("way"))
+    leaves = cut(steps.groupBy("conv_id").agg(F.max("end").alias("leaf_end")), "leaves").withColumnRenamed("conv_id", "of")
+    ends = steps.join(leaves, steps["conv_id"].eqNullSafe(leaves["of"])).groupBy("node").agg(F.max("leaf_end").alias("subtree_end"))
+    facts = ways.join(ends, "node")
     nodes = placed.join(facts.select("node", "way.position", "way.ancestors", "subtree_end"), "node")
     nodes = cut(nodes.select("node", "start", "n_tokens", "position", "ancestors", "subtree_end", "loss_from", "loss_to", "ids"), "nodes")
     routes = cut(turns.select("conv_id", "step", "node"), "routes")

@@ -3,9 +3,12 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from graphloom.llm.backoff_automaton import log_probabilities
+from graphloom.llm import backoff_automaton
+from graphloom.llm.backoff_automaton import Automaton, Block, log_probabilities
+from graphloom.llm.words import WordHasher
 from tests.llm.conftest import prose
 
 
@@ -44,8 +47,9 @@ def found(df):
     return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in df.collect())
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_are_those_of_the_formula(spark, order):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_are_those_of_the_formula(spark, monkeypatch, order):
+    monkeypatch.setattr(backoff_automaton, "SEGMENT", 7)  # most texts are read in several segments
     rng = random.Random(order)
     rows = [(i, prose(rng, rng.randrange(0, 40))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
@@ -71,3 +75,22 @@ def test_the_model_beats_its_root_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in log_probabilities(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_a_reader_follows_states_and_failure_arcs():
+    """Order 3 by hand: after an unseen pair the reader fails to shorter contexts, and pays for each."""
+    found = WordHasher()([b"a b c", b"a b d", b"x c"])
+    lengths = np.array([3, 3, 2])
+    block = Block([1, 2, 3], lengths, found.hashes, 3)
+    model = Automaton(block, np.bincount(block.where.reshape(-1)), 8, 6, 1.0)
+    word = {w: block.where[0][i] for i, w in enumerate("abcabdxc")}
+    state = np.array([model.root - 1])  # a text's beginning
+    state, paid = model.read(state, np.array([word["a"]]))
+    assert 10 ** paid[0] > 0.5 and model.failure[state[0]] == block.where[0][0]
+    state, _ = model.read(state, np.array([word["b"]]))
+    assert state[0] == block.where[1][1]  # the pair a b
+    after, paid = model.read(state, np.array([word["x"]]))
+    fails = model.price[state[0]] + model.price[model.failure[state[0]]]  # a b, then b, then the root
+    assert after[0] == word["x"] and paid[0] == pytest.approx(fails + model.at_root[word["x"]])
+    after, paid = model.read(state, np.array([word["d"]]))
+    assert after[0] == block.where[1][5] and paid[0] > fails
