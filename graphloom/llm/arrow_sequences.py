@@ -45,8 +45,8 @@ CACHED = 200_000  # words and parts, of 200 bytes or so with their ids
 #: marks, letters to U+00FF and marks; without the quote, which may begin a contraction
 _MARKS, _LETTERS = rb"[!-&(-/:-@\[-`{-~]", rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 SIMPLE = re.compile(rb"(%b*)(%b)(%b*)" % (_MARKS, _LETTERS, _MARKS))
-PLAIN = re.compile(rb"%b+|%b" % (_MARKS, _LETTERS))
 TOGETHER = 100  # parts in a call of the tokenizer
+AT_ONCE = 8 << 20  # bytes of text whose distinct words are looked up together
 
 
 def default_tokenizer() -> str:
@@ -89,27 +89,32 @@ class WordTokenizer:
         """Ids of distinct words. Of two generations of known words, those that are used again move to the younger."""
         _, closes, young, old = self.state[self.file]
         out = list(map(young.get, words))
-        again = [i for i, ids in enumerate(out) if ids is None]
-        absent = []
-        for i in again:
-            ids = old.get(words[i])
-            if ids is None:
-                absent.append(i)
+        plain, odd, absent = {}, {}, []
+        for i, ids in enumerate(out):
+            if ids is not None:
+                continue
+            word = words[i]
+            ids = old.get(word)
+            if ids is not None:
+                out[i] = young[word] = ids
+                continue
+            parts = _parts(word) if closes is not None else None
+            absent.append((i, parts))
+            if parts is None:
+                odd[word] = None
             else:
-                out[i] = young[words[i]] = ids
-        parts = [_parts(words[i]) if closes is not None else [words[i]] for i in absent]
-        new = {p for some in parts for p in some}
-        made = {p: ids for p in new if (ids := young.get(p, old.get(p))) is not None}
-        new -= made.keys()
-        odd = [p for p in new if closes is None or not PLAIN.fullmatch(p)]
-        for encode, some in ((self._encode_closed, list(new.difference(odd))), (self._encode, odd)):
+                for p in parts:
+                    plain[p] = young.get(p) or old.get(p)
+        for made, encode in ((plain, self._encode_closed), (odd, self._encode)):
+            some = [p for p, ids in made.items() if ids is None]
             for lo in range(0, len(some), TOGETHER):
                 made |= encode(some[lo : lo + TOGETHER])
-        for i, some in zip(absent, parts):
-            out[i] = made[some[0]] if len(some) == 1 else b"".join([made[p] for p in some])
-            if len(words[i]) <= LONG:
-                young[words[i]] = out[i]
-        young |= {p: ids for p, ids in made.items() if len(p) <= LONG}
+        for i, parts in absent:
+            word = words[i]
+            out[i] = odd[word] if parts is None else plain[parts[0]] if len(parts) == 1 else b"".join([plain[p] for p in parts])
+            if len(word) <= LONG:
+                young[word] = out[i]
+        young |= {p: ids for p, ids in plain.items() if len(p) <= LONG}
         if len(young) > CACHED // 2:
             self.state[self.file] = self.tokenizer, closes, {}, young
         return out
@@ -134,13 +139,30 @@ class WordTokenizer:
         return {w: ids[a:b].tobytes() for w, a, b in zip(words, edges[:-1], edges[1:])}
 
 
-def _parts(word: bytes) -> list[bytes]:
-    """Parts of a word whose ids make up the word's."""
+def _parts(word: bytes) -> tuple[bytes, ...] | None:
+    """Parts of a word whose ids make up the word's, or None for a word that has to be encoded whole."""
+    if word.isalpha():  # ASCII letters
+        return (word.lower(),)
     simple = SIMPLE.fullmatch(word)
     if simple is None or b"<|" in word:
-        return [word]
+        return None
     before, letters, after = simple.groups()
-    return [p for p in (before, letters.lower(), after) if p]
+    return tuple(p for p in (before, letters.lower(), after) if p)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, list]]:
+    """doc_ids and texts of about ``most`` bytes of text; a longer text ends its run."""
+    ids, texts, held = [], [], 0
+    for batch in batches:
+        for lo, hi, some in slices(batch["text"]):
+            ids.append(batch["doc_id"].slice(lo, hi - lo))
+            texts += some
+            held += sum(len(t) for t in some if t)
+            if held >= most:
+                yield pa.concat_arrays(ids), texts
+                ids, texts, held = [], [], 0
+    if texts:
+        yield pa.concat_arrays(ids), texts
 
 
 def schema(kind: type, length: int) -> pa.Schema:
@@ -244,14 +266,13 @@ def write_sequences(docs: DataFrame, folder: str, file: str | None = None, lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(file)
         writer, n_docs, shard = None, 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for lo, hi, texts in slices(batch["text"]):
-                ids, first = tokenizer(texts)
-                ids = np.insert(ids, first[1:], END_ID)
-                first = first + np.arange(len(first))
-                writer = writer or ShardWriter(folder, shard, tokenizer.kind, length)
-                writer.add(batch["doc_id"].slice(lo, hi - lo), ids, first)
-                n_docs += hi - lo
+        for doc_ids, texts in _gathered(batches, AT_ONCE):
+            ids, first = tokenizer(texts)
+            ids = np.insert(ids, first[1:], END_ID)
+            first = first + np.arange(len(first))
+            writer = writer or ShardWriter(folder, shard, tokenizer.kind, length)
+            writer.add(doc_ids, ids, first)
+            n_docs += len(texts)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_tokens": [writer.written]})
