@@ -641,16 +641,22 @@ def _(spark, d):
 @query(
     "balanced_parts",
     with_(TRIANGLE_SQL)
-    + """SELECT CAST(COUNT(*) AS BIGINT) AS total_w, TRUE AS each_once, TRUE AS in_range
+    + """SELECT CAST(COUNT(*) AS BIGINT) AS total_w, TRUE AS each_once, TRUE AS in_range, TRUE AS within_slack, TRUE AS cut_below_random
     FROM (SELECT src FROM triangles UNION SELECT dst FROM triangles)""",
 )
 def _(spark, d):
+    # all sweeps; no part above the slack and the heaviest node, and less weight between parts than 0.95 of a random cut's
     coarse = G.coarsen(triangles(spark, d), k=8, rounds=1, lp_iterations=2)
-    parts = G.balanced_parts(coarse.edges, coarse.nodes, k=8, sweeps=6)
+    parts = cut(G.balanced_parts(coarse.edges, coarse.nodes, k=8), "parts")
+    total, heaviest = coarse.nodes.agg(F.sum("node_w"), F.max("node_w")).first()
+    load = parts.groupBy("part").agg(F.sum("node_w").alias("load")).agg(F.max("load")).first()[0]
+    crossing = G.edge_cut(coarse.edges, parts.select("id", "part")).first()
+    fits, good = load <= 1.05 * total / 8 + heaviest, crossing["cut_w"] <= 0.95 * (1 - 1 / 8) * crossing["total_w"]
     given = coarse.nodes.select(F.col("id").alias("coarse_id"))
     matched = parts.join(given, F.col("id") == F.col("coarse_id"), "full")
     once = (F.count("id") == F.count("coarse_id")) & (F.count(F.lit(1)) == F.count_distinct("id"))
-    return matched.agg(F.sum("node_w").alias("total_w"), once.alias("each_once"), F.bool_and(F.col("part").between(0, 7)).alias("in_range"))
+    checks = [F.bool_and(F.col("part").between(0, 7)).alias("in_range"), F.lit(fits).alias("within_slack"), F.lit(good).alias("cut_below_random")]
+    return matched.agg(F.sum("node_w").alias("total_w"), once.alias("each_once"), *checks)
 
 
 @query(
