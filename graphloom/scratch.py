@@ -78,7 +78,7 @@ def bucketed(df: DataFrame, keys: list[str], name: str = "bucketed") -> DataFram
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path, table = new_path(spark, name), f"graphloom_{name}_{uuid.uuid4().hex}"
     # dealt by the buckets' own hash, so each task writes one file
-    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys)
     dealt.format("parquet").option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._is_cut, out._bucketed = True, (table, path)
