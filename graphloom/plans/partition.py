@@ -23,7 +23,7 @@ from graphloom.operators.labels import SCORE_DIGITS, lp_iteration
 from graphloom.operators.ordering import prefix_sum, rank_rows
 from graphloom.operators.placed import PlacedEdges, place_edges
 from graphloom.operators.sampling import Draw, edge_draw, sample_edges
-from graphloom.scratch import Loop, cut, new_path, per_key
+from graphloom.scratch import Loop, cut, new_path, per_key, settled
 
 
 def size_cap(n_nodes: int, k: int) -> int:
@@ -87,7 +87,7 @@ def coarsen(
         raise ValueError("rounds, lp_iterations, nbr_upper must be positive; w_ratio, save_ratio in (0, 1)")
     spark = edges.sparkSession
     path = levels_path or new_path(spark, "levels")
-    graph = edges.select("src", "dst", "w")
+    graph = settled(edges if edges.columns == ["src", "dst", "w"] else edges.select("src", "dst", "w"), "graph")
     members = distinct_nodes(graph)
     weights, before = None, None
     for r in range(rounds):
@@ -125,7 +125,7 @@ def _propagate_weighted(edges: PlacedEdges, labels: DataFrame, weights: DataFram
         sizes = weighed.groupBy("label").agg(F.sum("node_w").alias("size"))
         sizes = per_key(sizes.withColumn("frozen", F.col("size") >= cap), "sizes")
         state = labels.join(sizes, "label").select("id", "label", "frozen", "size")
-        labels = loop.step(steps.take_best(state, steps.label_scores(steps.messages(edges, state))))
+        labels = loop.step(steps.take_best(state, steps.label_scores(steps.messages(edges, state), edges.rows)))
     return labels
 
 
