@@ -1,7 +1,9 @@
 """Sums over edges whose groups have few rows: shuffled once, into tasks of bounded rows, with the same result."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from graphloom import scratch
 from graphloom.catalog import tables as T
 from graphloom.operators import labels as L
 from graphloom.operators.placed import place_edges
+from graphloom.plans import skipgram
+from graphloom.plans.skipgram import PairBlocks
 
 LINES = [(1, 1, 1, 2), (1, 1, 1, 3), (1, 2, 1, 4), (2, 1, 2, 5), (2, None, 2, 6), (2, 3, None, 7), (3, None, None, 8), (4, 1, 1, 9), (9, 1, 1, 99), (5, 4, 4, 10)]
 ORDERS = [(1, 7), (2, 8), (3, None), (4, T.SUPPLIER + 1), (5, T.PART + 4), (5, 8)]
@@ -81,3 +85,48 @@ def test_placed_edges_know_their_number(spark):
         assert L.known_rows(placed) == 3
         placed.release()
     assert L.known_rows(edges) is None and L.known_rows(scratch.cut(edges)) == 3
+
+
+# ---- skip-gram pairs in blocks
+
+
+@pytest.mark.parametrize("size", [3, 8, 1000])
+@pytest.mark.parametrize("grouped", [True, False])
+def test_pair_gradients_do_not_depend_on_blocks(spark, size, grouped):
+    rng = random.Random(size)
+    pairs = {(g, i, j): (rng.random(), rng.random()) for g in (0, 1) for i in range(5) for j in range(12 if i == 0 else 4)}
+    data = [(g, f"{g}n{i}", f"{g}n{j}", *w) for (g, i, j), w in pairs.items()]
+    odd = [(0, None, "0n1", 1.0, 1.0), (0, "0n1", None, 1.0, 1.0)]
+    df = spark.createDataFrame(data + odd, "g int, center string, context string, pos double, neg double")
+    by = ["g"] if grouped else []
+    blocks = PairBlocks(df if grouped else df.drop("g"), by, size)
+    ends = {(e, r) for _, c, k, *_ in data for e, r in ((c, 0), (k, 1))}
+    vecs = {(e, r): np.array([rng.uniform(-1, 1), rng.uniform(-1, 1)]) for e, r in sorted(ends)}
+    assert {(r["id"], r["role"]) for r in blocks.nodes().collect()} == ends
+    state = spark.createDataFrame([(int(e[0]), e, r, *map(float, v)) for (e, r), v in vecs.items()], "g int, id string, role int, x0 double, x1 double")
+    want = {k: np.zeros(2) for k in vecs}
+    for _, c, k, pos, neg in data:
+        pull = pos - (pos + neg) / (1 + np.exp(-(vecs[c, 0] @ vecs[k, 1])))
+        want[c, 0] += pull * vecs[k, 1]
+        want[k, 1] += pull * vecs[c, 0]
+    got = {(r["id"], r["role"]): (r["g0"], r["g1"]) for r in blocks.gradients(state, ["x0", "x1"], ["g0", "g1"]).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    # a block is sent each of its nodes once, and the pairs stay in their buckets
+    assert blocks.needs.groupBy(*blocks.keys, "id", "role").count().where("count > 1").isEmpty()
+    assert plan(blocks.gradients(state, ["x0", "x1"], ["g0", "g1"])).count("SelectedBucketsCount") <= 1
+    assert size < 1000 or blocks.packed.count() == (2 if grouped else 1)
+    blocks.release()
+
+
+def test_block_gradients_over_several_goes(monkeypatch):
+    monkeypatch.setattr(skipgram, "AT_ONCE", 4)
+    rng = np.random.default_rng(3)
+    c, k = np.sort(rng.integers(0, 5, 50)).astype(np.int32), rng.integers(0, 7, 50).astype(np.int32)
+    pos, neg, x, y = rng.random(50), rng.random(50), rng.normal(size=(5, 3)), rng.normal(size=(7, 3))
+    to_x, to_y = np.zeros_like(x), np.zeros_like(y)
+    for i, j, p, n in zip(c, k, pos, neg):
+        pull = p - (p + n) / (1 + np.exp(-(x[i] @ y[j])))
+        to_x[i] += pull * y[j]
+        to_y[j] += pull * x[i]
+    got = skipgram.pair_gradients(c, k, pos, neg, x, y)
+    assert np.allclose(got[0], to_x) and np.allclose(got[1], to_y)
