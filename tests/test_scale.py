@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import scratch
 from graphloom.catalog import tables as T
 from graphloom.operators import labels as L
+from graphloom.operators import walks
 from graphloom.operators.placed import place_edges
 from graphloom.plans import skipgram
 from graphloom.plans.skipgram import PairBlocks
@@ -130,3 +131,16 @@ def test_block_gradients_over_several_goes(monkeypatch):
         to_y[j] += pull * x[i]
     got = skipgram.pair_gradients(c, k, pos, neg, x, y)
     assert np.allclose(got[0], to_x) and np.allclose(got[1], to_y)
+
+
+def test_walkers_carry_the_nodes_since_the_last_cut(spark, rows, monkeypatch):
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 30, 1.0 + j) for i in range(30) for j in range(1, 4)] + [(3, 99, 9.0)], "src long, dst long, w double")
+    written, real = [], walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df, name="cut": (written.append((name, made := real(df, name))), made)[1])
+    whole = rows(walks.random_walks(edges, 2, 12, seed=1, cut_every=50), "start", "walk_no", "path")
+    got = rows(walks.random_walks(edges, 2, 12, seed=1, cut_every=3), "start", "walk_no", "path")
+    assert got == whole and len(got) == 62 and {len(p) for *_, p in got} >= {1, 12}
+    pieces = [df for name, df in written if name == "walkers"]
+    assert len(pieces) == 3 and max(df.agg(F.max(F.size("path"))).first()[0] for df in pieces) <= 4
+    table = next(df for name, df in written if name == "walk-cells")
+    assert {"_length", "_n_cells"} <= set(table.columns)  # a step needs no second join
