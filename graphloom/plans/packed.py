@@ -2,12 +2,16 @@
 
 A step over one subgraph reads that subgraph's row, and nothing else: the table of packed rows is laid out in folders
 by the subgraph's number. The row's gradient is worked out in the task that reads it, and only sums of gradients leave
-tasks. A subgraph of more than ``most`` nodes and edges is not packed, because a row has to fit a task; it stays in tables
-of nodes and edges with the same layout, which the join plan of ``gcn`` steps over.
+tasks. It holds the output of one layer and the gradient of another whole, inputs in blocks of rows; the other layers' outputs wait in
+files of the task, and inputs are worked out again on the way back. A subgraph of more than ``most`` nodes and edges is not packed,
+because a row has to fit a task; it stays in tables of nodes and edges with the same layout, which the join plan of ``gcn`` steps over.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
+import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,7 +27,9 @@ from graphloom.scratch import cut, new_path
 
 MOST = 2_000_000  # nodes and edges of a packed subgraph
 FOLDERS = 4096
-EDGES = 1 << 16  # that are summed at once
+EDGES = 1 << 14  # that are summed at once
+ROWS = 1 << 13  # nodes whose inputs are held at once
+ASIDE = 1 << 20  # numbers of a layer's output above which layers lie in files while others are worked out
 
 
 @dataclass
@@ -94,9 +100,8 @@ def pack_subgraphs(z1: DataFrame, nodes: DataFrame, adj: DataFrame, by: str, mos
     )
 
 
-def spread(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``val * x[col]`` by row; edges come in order of ``row``."""
-    out = np.zeros((n, x.shape[1]))
+def spread(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Adds sums of ``val * x[col]`` by row to ``out``; edges come in order of ``row``."""
     for lo in range(0, len(row), EDGES):
         r = row[lo : lo + EDGES]
         begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
@@ -104,6 +109,33 @@ def spread(row: np.ndarray, col: np.ndarray, val: np.ndarray, x: np.ndarray, n:
     return out
 
 
+class Aside:
+    """Arrays of one subgraph, each written in blocks of rows and read back whole or in blocks; in files of the task if they are large."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.held = folder, {}
+
+    def write(self, name: str, blocks: Iterator[np.ndarray]) -> None:
+        if self.folder is None:
+            self.held[name] = np.concatenate(list(blocks))
+            return
+        with open(f"{self.folder}/{name}", "wb") as out:
+            for block in blocks:
+                self.held[name] = block.shape[1]  # of an array in a file, its width
+                np.ascontiguousarray(block, float).tofile(out)
+
+    def read(self, name: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        kept = self.held[name]
+        if self.folder is None:
+            return kept[lo:hi]
+        count = -1 if hi is None else (hi - lo) * kept
+        return np.fromfile(f"{self.folder}/{name}", float, count, offset=8 * lo * kept).reshape(-1, kept)
+
+    def drop(self, name: str) -> None:
+        if self.held.pop(name, None) is not None and self.folder is not None:
+            os.remove(f"{self.folder}/{name}")
+
+
 def top(kind: str, out: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float, np.ndarray]:
     """Loss, share of right rows and the gradient of logits; ``share`` is the weight of each row, as a column."""
     if kind == "sigmoid":
@@ -126,25 +158,57 @@ def packed_gradients(layers: list[dict], kind: str, classes: int, groups: int, d
         val = np.frombuffer(r["val"])
         y = np.frombuffer(r["target"]).reshape(n, classes)
         share = np.frombuffer(r["masked"], np.uint8)[:, None] / (r["n"] * groups)
-        keeps, zs, memos = [], [], []
-        z = np.frombuffer(r["z"]).reshape(n, -1)
-        for i, layer in enumerate(layers, 1):
-            keeps.append(repeatable_keep(hashes, z.shape[1], dropout, seed * 100 + i) if dropout else None)
-            zs.append(z if keeps[-1] is None else z * keeps[-1])
-            out, memo = forward_rows(layer, zs[-1])
-            memos.append(memo)
-            if i < len(layers):
-                z = np.hstack([spread(row, col, val, out, n), out])
-        loss, right, up = top(kind, out, y, share)
-        back = np.argsort(col, kind="stable")
-        found = []
-        for layer, z, memo, keep in reversed(list(zip(layers, zs, memos, keeps))):
-            down, grads = backward_rows(layer, z, memo, up)
-            found.append(np.concatenate([grads[k].ravel() for k in sorted(grads)]))
-            if keep is not None:
-                down = down * keep
-            half = down.shape[1] // 2
-            up = spread(col[back], row[back], val[back], down[:, :half], n) + down[:, half:] if len(found) < len(layers) else None
+        first = np.frombuffer(r["z"]).reshape(n, -1)
+        blocks = [(lo, min(lo + ROWS, n)) for lo in range(0, n, ROWS)]
+        starts = np.searchsorted(row, [lo for lo, _ in blocks] + [n])
+
+        def inputs(i: int, b: int, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+            """Rows of the input of a layer, from the whole output of the layer below, and what dropout keeps of them."""
+            lo, hi = blocks[b]
+            e = slice(starts[b], starts[b + 1])
+            z = first[lo:hi] if i == 1 else np.hstack([spread(row[e] - lo, col[e], val[e], below, np.zeros((hi - lo, below.shape[1]))), below[lo:hi]])
+            keep = repeatable_keep(hashes[lo:hi], z.shape[1], dropout, seed * 100 + i) if dropout else None
+            return (z if keep is None else z * keep), keep
+
+        def outputs(i: int, below: np.ndarray | None) -> Iterator[np.ndarray]:
+            for b in range(len(blocks)):
+                yield forward_rows(layers[i - 1], inputs(i, b, below)[0])[0]
+
+        widest = max(layer["w"].shape[1] for layer in layers)
+        with tempfile.TemporaryDirectory() if n * widest > ASIDE else contextlib.nullcontext() as folder:
+            aside = Aside(folder)
+            for i in range(1, len(layers)):
+                aside.write(f"out{i}", outputs(i, aside.read(f"out{i - 1}") if i > 1 else None))
+            loss = right = 0.0
+            found = []
+            for i in range(len(layers), 0, -1):
+                layer, last = layers[i - 1], i == len(layers)
+                below = aside.read(f"out{i - 1}") if i > 1 else None
+                aside.drop(f"out{i - 1}")
+                heard = np.zeros_like(below) if i > 1 else None
+                total = 0.0
+                for b, (lo, hi) in enumerate(blocks):
+                    z, keep = inputs(i, b, below)
+                    out, memo = forward_rows(layer, z)
+                    if last:
+                        cost, hit, up = top(kind, out, y[lo:hi], share[lo:hi])
+                        loss, right = loss + cost, right + hit
+                    else:
+                        up = aside.read("up", lo, hi)
+                    down, grads = backward_rows(layer, z, memo, up)
+                    total = total + np.concatenate([grads[k].ravel() for k in sorted(grads)])
+                    if heard is not None:
+                        down = down if keep is None else down * keep
+                        half = down.shape[1] // 2
+                        heard[lo:hi] += down[:, half:]
+                        e = slice(starts[b], starts[b + 1])
+                        back = np.argsort(col[e], kind="stable")
+                        spread(col[e][back], row[e][back] - lo, val[e][back], down[:, :half], heard)
+                found.append(total)
+                if heard is not None:
+                    aside.drop("up")
+                    aside.write("up", (heard[lo:hi] for lo, hi in blocks))
+                del below, heard
         return np.concatenate([[loss, right], *reversed(found)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

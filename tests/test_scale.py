@@ -1,9 +1,11 @@
 """Sums over edges whose groups have few rows: shuffled once, into tasks of bounded rows, with the same result."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from graphloom.catalog import tables as T
 from graphloom.operators import labels as L
 from graphloom.operators import walks
 from graphloom.operators.placed import place_edges
-from graphloom.plans import skipgram
+from graphloom.plans import gcn, packed, skipgram
 from graphloom.plans.skipgram import PairBlocks
 
 LINES = [(1, 1, 1, 2), (1, 1, 1, 3), (1, 2, 1, 4), (2, 1, 2, 5), (2, None, 2, 6), (2, 3, None, 7), (3, None, None, 8), (4, 1, 1, 9), (9, 1, 1, 99), (5, 4, 4, 10)]
@@ -144,3 +146,41 @@ def test_walkers_carry_the_nodes_since_the_last_cut(spark, rows, monkeypatch):
     assert len(pieces) == 3 and max(df.agg(F.max(F.size("path"))).first()[0] for df in pieces) <= 4
     table = next(df for name, df in written if name == "walk-cells")
     assert {"_length", "_n_cells"} <= set(table.columns)  # a step needs no second join
+
+
+# ---- packed subgraphs
+
+
+def packed_row(n, degree, rng):
+    row, col = np.sort(rng.integers(0, n, n * degree)).astype(np.int32), rng.integers(0, n, n * degree).astype(np.int32)
+    arrays = {"z": rng.normal(size=(n, 3)), "target": np.eye(2)[rng.integers(0, 2, n)], "masked": np.ones(n, np.uint8), "hash": np.arange(n)}
+    return {"number": 0, "n": n} | {k: a.tobytes() for k, a in (arrays | {"row": row, "col": col, "val": rng.random(n * degree)}).items()}
+
+
+def packed_gradient(row, hidden, dropout=0.0):
+    model = gcn.init_gcn(3, 2, 4, hidden, True, True, 0)
+    run = packed.packed_gradients([model.layer(i) for i in range(1, 5)], "softmax", 2, 1, dropout, 1, gcn._forward_rows, gcn._backward_rows)
+    return np.frombuffer(next(run(iter([pa.RecordBatch.from_pylist([row])])))["part"][0].as_py())
+
+
+@pytest.mark.parametrize("aside", [0, 1 << 30])
+@pytest.mark.parametrize("dropout", [0.0, 0.3])
+def test_gradient_does_not_depend_on_blocks(monkeypatch, aside, dropout):
+    row = packed_row(50, 3, np.random.default_rng(2))
+    whole = packed_gradient(row, 8, dropout)
+    monkeypatch.setattr(packed, "ROWS", 7)
+    monkeypatch.setattr(packed, "EDGES", 5)
+    monkeypatch.setattr(packed, "ASIDE", aside)
+    assert np.allclose(packed_gradient(row, 8, dropout), whole, rtol=0, atol=1e-12)
+
+
+def test_a_packed_subgraph_holds_two_layers(monkeypatch):
+    for name, value in (("ROWS", 500), ("EDGES", 500), ("ASIDE", 0)):
+        monkeypatch.setattr(packed, name, value, raising=False)
+    n, hidden = 20_000, 64
+    row = packed_row(n, 2, np.random.default_rng(2))
+    tracemalloc.start()
+    packed_gradient(row, hidden)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n * hidden * 8
