@@ -21,9 +21,9 @@ from graphloom.operators.edges import (
 from graphloom.operators import labels as steps
 from graphloom.operators.labels import SCORE_DIGITS, lp_iteration
 from graphloom.operators.ordering import prefix_sum, rank_rows
-from graphloom.operators.placed import PlacedEdges, place_edges
+from graphloom.operators.placed import PlacedEdges, lies_by, place_edges
 from graphloom.operators.sampling import Draw, edge_draw, sample_edges
-from graphloom.scratch import Loop, cut, new_path, per_key, settled
+from graphloom.scratch import Loop, cut, new_path, per_key, settled, tasks_for
 
 
 def size_cap(n_nodes: int, k: int) -> int:
@@ -37,18 +37,24 @@ def label_propagation(
     iterations: int = 3,
     labels: DataFrame | None = None,
     cap: int | None = None,
+    heard: DataFrame | None = None,
 ) -> DataFrame:
     """Size-capped label propagation over ``edges``; ``k`` is the number of parts aimed at.
 
     A node keeps its label when it hears nothing, so every node of ``labels`` (by default, every
-    endpoint) is in the result.
+    endpoint) is in the result. ``heard`` are the same edges laid out by ``src``, given if every node starts
+    with its own id as its label: the first step then sends no labels.
     """
     loop = Loop("labels")
     placed = place_edges(edges.select("src", "dst", "w"), "dst") if isinstance(edges, DataFrame) else edges
-    labels = loop.step(init_labels(placed.plain()) if labels is None else labels)
+    if labels is None:
+        heard = placed.heard()
+        labels = init_labels(placed.plain()) if heard is None else heard.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    labels = loop.step(labels)
     cap = size_cap(labels.count(), k) if cap is None else cap
-    for _ in range(iterations):
-        labels = loop.step(lp_iteration(placed, labels, cap))
+    for i in range(iterations):
+        alone = i == 0 and cap > 1 and heard is not None
+        labels = loop.step(steps.first_step(heard, labels) if alone else lp_iteration(placed, labels, cap))
     if placed is not edges:
         placed.release()
     return labels
@@ -91,7 +97,8 @@ def coarsen(
     members = distinct_nodes(graph)
     weights, before = None, None
     for r in range(rounds):
-        working = place_edges(sample_edges(graph, nbr_upper, w_ratio, save_ratio, seed + r, draw).select("src", "dst", "w"), "dst")
+        sampled = sample_edges(graph, nbr_upper, w_ratio, save_ratio, seed + r, draw).select("src", "dst", "w")
+        working = place_edges(sampled, "dst")
         if before:
             before.release()
         before = working
@@ -100,10 +107,14 @@ def coarsen(
             total = weights.agg(F.sum("node_w")).first()[0]
             labels = _propagate_weighted(working, start, weights, size_cap(int(total), k), lp_iterations)
         else:
-            labels = label_propagation(working, k, lp_iterations, labels=start)
+            # the sample of edges laid out by src is taken again where it lies
+            labels = label_propagation(working, k, lp_iterations, labels=start, heard=sampled if lies_by(graph, "src") else None)
         write_level(labels, path, r + 1)
         labels = read_levels(spark, path, r + 1)
-        graph = coarse_edges(working.plain(), labels).select("src", "dst", "w")
+        # laid out by src, as they are sampled
+        tasks = tasks_for(spark, working.rows)
+        graph = place_edges(coarse_edges(working.plain(), labels, tasks).select("src", "dst", "w"), "src", buckets=tasks).plain()
+        graph._is_cut = True
         members = labels.select(F.col("label").alias("id")).distinct()
         if weighted_cap:
             composed = composed_labels(read_levels(spark, path), r + 1)
@@ -307,8 +318,9 @@ def rebalance(parts: DataFrame, edges: DataFrame, k: int, slack: float = 0.05) -
     if not n_moves:
         return parts
     crowded = parts.join(over, "part")
-    end = {e: parts.select(F.col("id").alias(e), F.col("part").alias(f"_{e}")) for e in ("src", "dst")}
-    inner = edges.select("src", "dst", F.col("w").cast("double").alias("w")).join(end["src"], "src").join(end["dst"], "dst")
+    # only weights of nodes in overfull parts are asked for
+    ends = crowded.select(F.col("id").alias("src"), F.col("part").alias("_src")), parts.select(F.col("id").alias("dst"), F.col("part").alias("_dst"))
+    inner = edges.select("src", "dst", F.col("w").cast("double").alias("w")).join(ends[0], "src").join(ends[1], "dst")
     held = per_key(inner.filter("_src = _dst").groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("held")), "held")
     order = F.round(F.coalesce("held", F.lit(0.0)), SCORE_DIGITS) + hash_draw("id", seed=2) / 10.0**SCORE_DIGITS
     ranked = rank_rows(crowded.join(held, "id", "left").withColumn("_order", order), key="_order", by=["part"], ties=["id"])

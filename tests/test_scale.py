@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from graphloom import scratch
 from graphloom.catalog import tables as T
 from graphloom.operators import labels as L
-from graphloom.operators import walks
+from graphloom.operators import placed, walks
+from graphloom.operators.edges import distinct_nodes
 from graphloom.operators.placed import place_edges
 from graphloom.plans import gcn, packed, skipgram
+from graphloom.plans import partition as G
 from graphloom.plans.skipgram import PairBlocks
 
 LINES = [(1, 1, 1, 2), (1, 1, 1, 3), (1, 2, 1, 4), (2, 1, 2, 5), (2, None, 2, 6), (2, 3, None, 7), (3, None, None, 8), (4, 1, 1, 9), (9, 1, 1, 99), (5, 4, 4, 10)]
@@ -90,6 +92,55 @@ def test_placed_edges_know_their_number(spark):
     assert L.known_rows(edges) is None and L.known_rows(scratch.cut(edges)) == 3
 
 
+# ---- edges laid out where they are read
+
+
+def node_shuffles(df):
+    """The exchanges of a plan."""
+    return plan(df).count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("hub", [3, 1_000_000])
+def test_kept_triangles_lie_by_an_end(spark, trade_tables, monkeypatch, hub):
+    monkeypatch.setattr(placed, "HUB_EDGES", hub)
+    monkeypatch.setattr(scratch, "ROWS_PER_TASK", 10)
+    for end in ("src", "dst"):
+        edges = T.triangles(spark, trade_tables, kept=end)
+        assert {(r["src"], r["dst"]): r["w"] for r in edges.collect()} == six_ways() and L.known_rows(edges) == len(six_ways())
+        assert {r[0] for r in distinct_nodes(edges).collect()} == {a for a, _ in six_ways()}
+        if hub > 3:
+            assert placed.lies_by(edges, end) and node_shuffles(edges.groupBy(end).count()) == 0 and node_shuffles(distinct_nodes(edges)) == 0
+            assert node_shuffles(T.triangles(spark, trade_tables, kept=end).groupBy("src", "dst").count()) == 0
+
+
+def test_first_labels_are_not_sent(spark, trade_tables, rows, monkeypatch):
+    arcs = T.placed_triangles(spark, trade_tables, "dst")
+    plain = [(a, b, w) for (a, b), w in six_ways().items() if a is not None and b is not None]
+    edges = spark.createDataFrame(plain, "src long, dst long, w long")
+    sent, real = [], G.lp_iteration
+    monkeypatch.setattr(G, "lp_iteration", lambda *a: (sent.append(a), real(*a))[1])
+    for k, steps in ((1, 1), (1, 3), (3, 2)):
+        want = rows(G.label_propagation(edges, k, steps), "id", "label")
+        assert len(sent) == steps
+        assert rows(G.label_propagation(arcs, k, steps).where("id is not null"), "id", "label") == want
+        assert len(sent) == 2 * steps - 1
+        sent.clear()
+    # a node's row and its best score are all that is shuffled
+    labels = scratch.cut(edges.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    assert node_shuffles(L.first_step(arcs.heard(), labels)) == 1
+    arcs.release()
+
+
+def test_coarse_graph_lies_by_src(spark, rows, monkeypatch):
+    pairs = [(a, b) for a in range(24) for b in range(24) if a != b and (a // 6 == b // 6 or (a + b) % 11 == 0)]
+    edges = scratch.cut(spark.createDataFrame([(a, b, float(1 + (a * b) % 3)) for a, b in pairs], "src long, dst long, w double"))
+    seen, real = [], G.sample_edges
+    monkeypatch.setattr(G, "sample_edges", lambda graph, *a: (seen.append(graph), real(graph, *a))[1])
+    G.coarsen(edges, k=4, rounds=2, w_ratio=0.01, save_ratio=0.99)
+    assert [placed.lies_by(g, "src") for g in seen] == [False, True, True]
+    assert all(node_shuffles(g.groupBy("src").count()) == 0 for g in seen[1:])
+
+
 # ---- skip-gram pairs in blocks
 
 
