@@ -15,9 +15,10 @@ from graphloom.operators import labels as L
 from graphloom.operators import placed, walks
 from graphloom.operators.edges import distinct_nodes
 from graphloom.operators.placed import place_edges
-from graphloom.plans import gcn, packed, skipgram
+from graphloom.plans import augment, gcn, packed, skipgram
 from graphloom.plans import partition as G
 from graphloom.plans.skipgram import PairBlocks
+from graphloom.scratch import cut
 
 LINES = [(1, 1, 1, 2), (1, 1, 1, 3), (1, 2, 1, 4), (2, 1, 2, 5), (2, None, 2, 6), (2, 3, None, 7), (3, None, None, 8), (4, 1, 1, 9), (9, 1, 1, 99), (5, 4, 4, 10)]
 ORDERS = [(1, 7), (2, 8), (3, None), (4, T.SUPPLIER + 1), (5, T.PART + 4), (5, 8)]
@@ -186,6 +187,76 @@ def test_block_gradients_over_several_goes(monkeypatch):
     assert np.allclose(got[0], to_x) and np.allclose(got[1], to_y)
 
 
+@pytest.mark.parametrize("dense", [0.0, 9.0])
+def test_products_of_all_cells_and_of_pairs_give_one_gradient(monkeypatch, dense):
+    monkeypatch.setattr(skipgram, "DENSE", dense)
+    monkeypatch.setattr(skipgram, "CELLS", 20)
+    monkeypatch.setattr(skipgram, "AT_ONCE", 6)
+    rng = np.random.default_rng(5)
+    c, k = np.sort(rng.integers(0, 9, 60)), rng.integers(0, 7, 60)  # some pairs come twice
+    pos, neg, x, y = rng.random(60), rng.random(60), rng.normal(size=(10, 3)), rng.normal(size=(7, 3))
+    to_x, to_y = np.zeros_like(x), np.zeros_like(y)
+    for i, j, p, n in zip(c, k, pos, neg):
+        pull = p - (p + n) / (1 + np.exp(-(x[i] @ y[j])))
+        to_x[i] += pull * y[j]
+        to_y[j] += pull * x[i]
+    got = skipgram.pair_gradients(c, k, pos, neg, x, y)
+    assert np.allclose(got[0], to_x) and np.allclose(got[1], to_y)
+
+
+def odd_graph(spark):
+    data = [(g, f"n{i}", f"n{(i * 7 + j) % 30}", 0.5 + (i * j) % 4) for g in (0, 1, 2) for i in range(30) for j in range(1, 4 + g)]
+    data += [(0, "n3", "sink", 9.0), (0, "n3", "n4", 0.0), (1, None, "n1", 1.0), (1, "n1", None, 1.0), (None, "n1", "n2", 1.0), (2, "n1", "n2", 2.0)]
+    return spark.createDataFrame(data, "g int, src string, dst string, w double")
+
+
+@pytest.mark.parametrize("walkers", [5, 1000])
+def test_walks_in_tasks_are_those_of_joins(spark, monkeypatch, walkers):
+    monkeypatch.setattr(walks, "HELD_WALKERS", walkers)
+    written, real = [], walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df, name="cut": (written.append(name), real(df, name))[1])
+    edges = odd_graph(spark)
+    found = {most: sorted(map(tuple, walks.random_walks(edges, 3, 7, seed=1, by=["g"], cut_every=3, most=most).collect()), key=repr) for most in (0, 120)}
+    assert "walkers" in written
+    del written[:]
+    found[None] = sorted(map(tuple, walks.random_walks(edges, 3, 7, seed=1, by=["g"]).collect()), key=repr)
+    assert not {"walkers", "walk-cells"} & set(written)  # no join a step
+    assert found[None] == found[0] == found[120]
+    assert len(found[None]) == (30 * 3 + 4) * 3 and {1, 7} <= {len(r[3]) for r in found[None]}
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 22])
+def test_pairs_of_walks_by_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(walks, "COUNTED", at_once)
+    rng = random.Random(8)
+    paths = [(g, [rng.choice([*"abcde", None]) for _ in range(rng.randint(0, 9))]) for g in (0, 1, None) for _ in range(20)]
+    want = {}
+    for g, path in paths:
+        for i, a in enumerate(path):
+            for j, b in enumerate(path):
+                if 0 < abs(i - j) <= 4:
+                    want[g, a, b] = want.get((g, a, b), 0) + (5 - abs(i - j)) / 4
+    df = spark.createDataFrame([*paths, (0, None)], "g int, path array<string>")
+    got = {tuple(r)[:3]: r["n"] for r in walks.skipgram_pairs(df, 4, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert len([*walks._pair_counter(["g"], 4)(iter(df.toArrow().to_batches()))]) >= (1 if at_once > 1 else 30)
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_vectors_trained_in_tasks_are_those_of_blocks(spark, monkeypatch, by):
+    pairs = walks.skipgram_pairs(walks.random_walks(odd_graph(spark), 3, 7, seed=1, by=["g"]), 4, ["g"])
+    pairs = pairs.unionByName(spark.createDataFrame([(0, "n1", None, 1.0), (0, None, "n1", 2.0), (None, "n1", "n2", 1.0)], pairs.schema))
+    pairs = cut(pairs if by else pairs.where("g = 0").drop("g"))
+    most_pairs = pairs.groupBy(*by).count().agg(F.max("count")).first()[0]
+    vectors = lambda most: {tuple(r)[:-1]: r["vec"] for r in augment.fit_skipgram(pairs, 4, 5, seed=2, by=by, most=most).collect()}
+    want = vectors(0)
+    monkeypatch.setattr(augment, "PairBlocks", None)  # no blocks, and no job an epoch
+    got = vectors(None)
+    monkeypatch.undo()
+    for some in (got, vectors(most_pairs - 1)):
+        assert some.keys() == want.keys() and all(np.allclose(some[k], want[k], atol=1e-9) for k in want)
+
+
 def test_walkers_carry_the_nodes_since_the_last_cut(spark, rows, monkeypatch):
     edges = spark.createDataFrame([(i, (i * 7 + j) % 30, 1.0 + j) for i in range(30) for j in range(1, 4)] + [(3, 99, 9.0)], "src long, dst long, w double")
     written, real = [], walks.cut
