@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from graphloom.functions.network import LN_EPS, Adam, glorot, repeatable_keep, stack
 from graphloom.functions.scalars import layer_norm
 from graphloom.operators.vectors import sum_vectors
-from graphloom.plans.packed import MOST, Packed, pack_subgraphs, packed_gradients, top
+from graphloom.plans.packed import MOST, SCORED, Packed, pack_subgraphs, packed_gradients, subgraph_scores, top
 from graphloom.plans.params import Params, load_params, save_params, sum_arrays, unflatten
-from graphloom.scratch import cut, settled
+from graphloom.scratch import Loop, cut, settled, tasks_of_groups
 
 # ---- one layer as an operator
 
@@ -410,15 +410,53 @@ def validate(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "subgr
     return out | multilabel_f1(scored.where("is_masked")).first().asDict()
 
 
-def predict_gcn(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "subgraph_id") -> DataFrame:
-    """``(by, id, logits, p)`` for all nodes; ``p`` is the raw logit of class 1."""
+def predict_gcn(model: GcnModel, nodes: DataFrame, adj: DataFrame, by: str = "subgraph_id", most: int = MOST) -> DataFrame:
+    """``(by, id, logits, p)`` for all nodes; ``p`` is the raw logit of class 1.
+
+    A subgraph of at most ``most`` nodes and edges, whose widest layer fits a task, goes up all layers there; its vectors are neither
+    shuffled nor written. Larger ones, and layers too narrow to matter, go up by a join a layer.
+    """
     keys = [by]
     rows = model.params["w1"].shape[0]
     dim = rows if model.precalc else rows // 2
+    adj = settled(adj, "gcn-adj")
     z = first_input(nodes, adj, dim, model.precalc, keys)
+    if model.n_layers == 1 or model.params["w1"].shape[1] <= NARROW:
+        out = _joined_scores(model, z, adj, keys)
+    else:
+        z = cut(z, "gcn-input")
+        widest = max(model.params[f"w{i}"].shape[1] for i in range(1, model.n_layers + 1))
+        arcs = adj.groupBy(by).agg(F.count(F.lit(1)).alias("edges"))
+        sizes = z.groupBy(by).agg(F.count(F.lit(1)).alias("size")).join(arcs, by, "left")
+        is_large = (F.col("size") + F.coalesce("edges", F.lit(0)) > most) | (F.col("size") * widest > SCORED)
+        groups = cut(sizes.select(F.col(by).alias("_group"), is_large.alias("large")), "groups")
+        large, same = groups.where("large").select("_group"), F.col(by).eqNullSafe(F.col("_group"))
+        if large.isEmpty():
+            out = _held_scores(model, z, adj, by, groups.count())
+        else:
+            held = _held_scores(model, z.join(large, same, "left_anti"), adj.join(large, same, "left_anti"), by, groups.count())
+            out = held.unionByName(_joined_scores(model, z.join(large, same, "left_semi"), adj.join(large, same, "left_semi"), keys))
+    return out.select(by, "id", F.col("features").alias("logits"), F.element_at("features", 2).alias("p"))
+
+
+def _held_scores(model: GcnModel, z: DataFrame, adj: DataFrame, by: str, groups: int) -> DataFrame:
+    """Last layer's output of subgraphs that fit a task."""
+    n = tasks_of_groups(z.sparkSession, groups)
+    kinds = dict(z.dtypes)
+    # ends are looked up among ids, so they have their type; edges without an end or a subgraph reach no node
+    ends = [F.expr(f"try_cast(`{c}` AS {kinds[to]})").alias(c) for c, to in ((by, by), ("row", "id"), ("col", "id"))]
+    arcs = adj.select(*ends, F.col("val").cast("double").alias("val")).where(f"`{by}` IS NOT NULL AND row IS NOT NULL AND col IS NOT NULL")
+    run = subgraph_scores([model.layer(i) for i in range(1, model.n_layers + 1)], by, _forward_rows)
+    pair = z.select(by, "id", "z").repartition(n, by).groupBy(by).cogroup(arcs.repartition(n, by).groupBy(by))
+    return pair.applyInArrow(run, f"`{by}` {kinds[by]}, id {kinds['id']}, features array<double>")
+
+
+def _joined_scores(model: GcnModel, z: DataFrame, adj: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Last layer's output of subgraphs of any size. A layer's output is written, half as wide as the input above it, and then removed."""
+    loop = Loop("predict")
     for i in range(1, model.n_layers + 1):
         layer = model.layer(i)
-        out = _apply_layer(z, layer, keys, None)
+        out = loop.step(_apply_layer(z, layer, by, None))
         if i < model.n_layers:
-            z = cut(aggregate_neighbours(adj, out, keys, layer["w"].shape[1]), f"predict{i + 1}")
-    return out.select(by, "id", F.col("features").alias("logits"), F.element_at("features", 2).alias("p"))
+            z = aggregate_neighbours(adj, out, by, layer["w"].shape[1])
+    return out

@@ -3,7 +3,7 @@
 A step over one subgraph reads that subgraph's row, and nothing else: the table of packed rows is laid out in folders
 by the subgraph's number. The row's gradient is worked out in the task that reads it, and only sums of gradients leave
 tasks. It holds the output of one layer and the gradient of another whole, inputs in blocks of rows; the other layers' outputs wait in
-files of the task, and inputs are worked out again on the way back. A subgraph of more than ``most`` nodes and edges is not packed,
+files of the task, and inputs are worked out again on the way back. Predictions go up the layers only, in one task a subgraph. A subgraph of more than ``most`` nodes and edges is not packed,
 because a row has to fit a task; it stays in tables of nodes and edges with the same layout, which the join plan of ``gcn`` steps over.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ FOLDERS = 4096
 EDGES = 1 << 14  # that are summed at once
 ROWS = 1 << 13  # nodes whose inputs are held at once
 ASIDE = 1 << 20  # numbers of a layer's output above which layers lie in files while others are worked out
+SCORED = 1 << 26  # numbers of a layer's output in a subgraph that one task predicts
+PAIRED = 1 << 25  # numbers of a layer's output up to which two layers are held at once
 
 
 @dataclass
@@ -221,3 +224,63 @@ def packed_gradients(layers: list[dict], kind: str, classes: int, groups: int, d
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
     return run
+
+
+def _ends(ids: pa.Array, edges: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``ids`` of both ends of every edge, and its value, in order of ``row``. A repeated id has the edges at each of its places."""
+    known = ids.dictionary_encode()
+    code = known.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    row, col = (pc.index_in(edges[c].combine_chunks(), known.dictionary, skip_nulls=True) for c in ("row", "col"))
+    there = pc.and_(pc.is_valid(row), pc.is_valid(col)).to_numpy(zero_copy_only=False).astype(bool)
+    row, col = (x.fill_null(0).to_numpy(zero_copy_only=False)[there] for x in (row, col))
+    val = np.asarray(edges["val"].combine_chunks().to_numpy(zero_copy_only=False), float)[there]
+    at = np.flatnonzero(code >= 0)
+    if len(at) == len(known.dictionary):
+        place = np.empty(len(at), np.int64)
+        place[code[at]] = at
+        row, col = place[row], place[col]
+    else:
+        places = pd.DataFrame({"code": code[at], "at": at})
+        met = pd.DataFrame({"row": row, "col": col, "val": val})
+        for end in ("row", "col"):
+            met = met.merge(places, left_on=end, right_on="code").drop(columns=[end, "code"]).rename(columns={"at": end})
+        row, col, val = (met[c].to_numpy() for c in ("row", "col", "val"))
+    order = np.argsort(row, kind="stable")
+    return row[order], col[order], val[order]
+
+
+def subgraph_scores(layers: list[dict], by: str, forward_rows):
+    """Logits of the nodes of one subgraph, from the input of the first layer; holds the outputs of two layers, or of one if they are large."""
+    widest = max(layer["w"].shape[1] for layer in layers)
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        ids, n = nodes["id"].combine_chunks(), nodes.num_rows
+        row, col, val = _ends(ids, edges)
+        first = nodes["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1)
+        blocks = [(lo, min(lo + ROWS, n)) for lo in range(0, n, ROWS)]
+        starts = np.searchsorted(row, [lo for lo, _ in blocks] + [n])
+
+        def outputs(layer: dict, below: np.ndarray | None) -> Iterator[np.ndarray]:
+            for b, (lo, hi) in enumerate(blocks):
+                e = slice(starts[b], starts[b + 1])
+                z = first[lo:hi] if below is None else np.hstack([spread(row[e] - lo, col[e], val[e], below, np.zeros((hi - lo, below.shape[1]))), below[lo:hi]])
+                yield forward_rows(layer, z)[0]
+
+        with tempfile.TemporaryDirectory() if n * widest > PAIRED else contextlib.nullcontext() as folder:
+            aside, below = Aside(folder), None
+            for i, layer in enumerate(layers):
+                if folder is None:
+                    out, at = np.empty((n, layer["w"].shape[1])), 0
+                    for block in outputs(layer, below):
+                        out[at : at + len(block)] = block
+                        at += len(block)
+                    below = out
+                else:
+                    aside.write(f"out{i}", outputs(layer, below))
+                    below = None
+                    below = aside.read(f"out{i}")
+                    aside.drop(f"out{i}")
+        logits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * below.shape[1], pa.int32()), pa.array(below.ravel(), from_pandas=True))  # NaN as null, as pandas gives it
+        return pa.table([nodes[by], ids, logits], names=[by, "id", "features"])
+
+    return run

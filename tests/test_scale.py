@@ -306,3 +306,65 @@ def test_a_packed_subgraph_holds_two_layers(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * n * hidden * 8
+
+
+# ---- predictions in one task a subgraph
+
+
+def odd_subgraphs(spark):
+    rng = random.Random(3)
+    nodes = [(g, f"n{i}", [rng.uniform(-1, 1) for _ in range(3)]) for g in (0, 1, 2) for i in range(12)]
+    nodes += [(None, "a", [1.0, 2.0, 3.0]), (None, "b", [1.0, 2.0, 0.0]), (1, None, [1.0, 0.5, 3.0]), (2, "n1", [0.1, 0.2, 0.3]), (0, "lone", [1.0, 2.0, -3.0]), (1, "nul", [1.0, None, 2.0])]
+    arcs = [(g, f"n{i}", f"n{(i * 5 + j) % 12}", rng.random()) for g in (0, 1, 2) for i in range(12) for j in range(3)]
+    arcs += [(None, "a", "b", 1.0), (0, None, "n1", 1.0), (0, "n1", None, 1.0), (0, "n2", "gone", 1.0), (0, "gone", "n2", 1.0), (1, "n2", "n3", 0.5), (1, "n2", "n3", 0.5), (2, "n4", "n5", None)]
+    return spark.createDataFrame(nodes, "subgraph_id int, id string, features array<double>"), spark.createDataFrame(arcs, "subgraph_id int, row string, col string, val double")
+
+
+@pytest.mark.parametrize("precalc, paired", [(True, 1 << 25), ("skip", 1 << 25), (False, 100)])
+def test_predictions_in_tasks_are_those_of_joins(spark, monkeypatch, precalc, paired):
+    nodes, adj = odd_subgraphs(spark)
+    model = gcn.init_gcn(3, 2, 4, 20, True, precalc, 5)
+    joined, real = [], gcn._joined_scores
+    monkeypatch.setattr(gcn, "_joined_scores", lambda *args: (joined.append(args), real(*args))[1])
+
+    def scores(most):
+        rows = gcn.predict_gcn(model, nodes, adj, most=most).collect()
+        return sorted(((r["subgraph_id"], r["id"], *[x if x is None else round(x, 8) for x in [*r["logits"], r["p"]]]) for r in rows), key=repr)
+
+    want, some = scores(0), scores(47)  # nodes with a repeated or null id have more
+    assert len(joined) == 2 and want == some and len(want) == (42 if precalc == "skip" else 43)
+    assert any(r[2] is None for r in want) and any(r[0] is None for r in want)
+    monkeypatch.setattr(packed, "ROWS", 5)
+    monkeypatch.setattr(gcn, "aggregate_neighbours", lambda adj, x, by, dim, concat_self=True, features="features", real=gcn.aggregate_neighbours: real(adj, x, by, dim, concat_self, features) if dim < 20 else pytest.fail("a wide layer was joined"))
+    assert scores(packed.MOST) == want and len(joined) == 2
+
+
+def test_a_large_subgraph_waits_in_files_and_one_layer_is_held(monkeypatch, tmp_path):
+    rng = np.random.default_rng(2)
+    n, m = 6_000, 18_000
+    model = gcn.init_gcn(3, 2, 5, 64, True, True, 5)
+    nodes = pa.table({"g": pa.array(np.ones(n, int)), "id": pa.array(np.arange(n)), "z": pa.array(list(rng.normal(size=(n, 3))))})
+    edges = pa.table({"g": pa.array(np.ones(m, int)), "row": pa.array(rng.integers(0, n, m)), "col": pa.array(rng.integers(0, n, m)), "val": pa.array(rng.random(m))})
+    run = packed.subgraph_scores([model.layer(i) for i in range(1, 6)], "g", gcn._forward_rows)
+    monkeypatch.setattr(packed, "ROWS", 256)
+    monkeypatch.setattr(packed.tempfile, "tempdir", str(tmp_path))
+    peaks, found = [], []
+    for limit in (1 << 25, 0):
+        monkeypatch.setattr(packed, "PAIRED", limit)
+        tracemalloc.start()
+        found.append(run(nodes, edges))
+        peaks.append(tracemalloc.get_traced_memory()[1] / (n * 64 * 8))  # in outputs of one layer
+        tracemalloc.stop()
+    assert found[0].equals(found[1]) and peaks[0] < 3.2 and peaks[1] < peaks[0] - 0.5
+    assert not list(tmp_path.iterdir())
+
+
+def test_a_layer_that_is_joined_is_removed_after_the_next(spark, monkeypatch):
+    nodes, adj = odd_subgraphs(spark)
+    kept, dropped = [], []
+    real_write, real_drop = scratch._write, scratch.drop_path
+    monkeypatch.setattr(scratch, "_write", lambda df, path: (kept.append(path), real_write(df, path))[1])
+    monkeypatch.setattr(scratch, "drop_path", lambda spark, path: (dropped.append(path), real_drop(spark, path))[1])
+    gcn.predict_gcn(gcn.init_gcn(3, 2, 4, 20, True, True, 5), nodes, adj, most=0).collect()
+    layers = [p for p in kept if "/predict-" in p]
+    assert len(layers) == 4 and dropped == layers[:-1]
